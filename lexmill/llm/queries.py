@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import chat, exact_dedup, mixing, packing, pii, secrets, topk
+from lexmill.llm import chat, exact_dedup, mixing, near_dedup, packing, pii, secrets, topk
 from lexmill.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymised(table(spark, sf_dir, "documents"))
 
@@ -40,8 +44,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op3_packing, op4_exact_topk, op5_chat, op6_exact_dedup, op8_pii, op9_mixing)}
+    return {f.__name__: f for f in (op1_secrets, op3_packing, op4_exact_topk, op5_chat, op6_exact_dedup, op7_near_dedup, op8_pii, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_topk": topk.SQL, "op5_chat": chat.SQL, "op6_exact_dedup": exact_dedup.SQL, "op9_mixing": mixing.SQL}
+    return {"op4_exact_topk": topk.SQL, "op5_chat": chat.SQL, "op6_exact_dedup": exact_dedup.SQL, "op7_near_dedup": near_dedup.SQL, "op9_mixing": mixing.SQL}
