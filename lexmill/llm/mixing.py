@@ -64,7 +64,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> Da
     """Per source_key: source_size, source_docs, target. Sources by code point, null last, weigh `weights`, repeating.
 
     Targets fill like water: with sources by the level where each is full, the level over those not full is the first that
-    the next source bears. One row a source, so the windows run over pre-aggregated rows.
+    the next source bears, which is the highest of all. One row a source, so the windows run over pre-aggregated rows.
     """
     per = sizes.groupBy("source_key").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_docs"))
     everything = Window.partitionBy(F.lit(0))
@@ -74,7 +74,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> Da
     before = everything.orderBy((full / F.col("w")), "source_key").rowsBetween(Window.unboundedPreceding, -1)
     rest = everything.orderBy((full / F.col("w")), "source_key").rowsBetween(0, Window.unboundedFollowing)
     per = per.withColumn("level", (F.sum("source_size").over(everything).cast("double") - F.coalesce(F.sum(full).over(before), F.lit(0.0))) / F.sum("w").over(rest))
-    level = F.min(F.when(F.col("level") * F.col("w") <= full, F.col("level"))).over(everything)
+    # The level rises while full sources are passed over, and falls after.
+    level = F.max(F.when(F.col("level") * F.col("w") <= full, F.col("level"))).over(everything)
     return per.withColumn("target", F.least(full, F.coalesce(level, F.lit(0.0)) * F.col("w"))).drop("level", "w")
 
 
@@ -124,7 +125,7 @@ SQL = r"""
 with d as (select doc_id, case when source is null then '1' else '0' || source end as source_key, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
 per as (select source_key, sum(size)::bigint as source_size, count(*) as source_docs, ((row_number() over (order by source_key) - 1) % 3 + 1)::double as w from d group by source_key),
 lev as (select *, (3 * source_size)::double as cap, ((sum(source_size) over ())::double - coalesce(sum((3 * source_size)::double) over (order by (3 * source_size)::double / w, source_key rows between unbounded preceding and 1 preceding), 0)) / sum(w) over (order by (3 * source_size)::double / w, source_key rows between current row and unbounded following) as level from per),
-tgt as (select source_key, source_size, source_docs, least(cap, coalesce(min(case when level * w <= cap then level end) over (), 0) * w) as target from lev),
+tgt as (select source_key, source_size, source_docs, least(cap, coalesce(max(case when level * w <= cap then level end) over (), 0) * w) as target from lev),
 s0 as (select *, round((sum(source_size) over ())::double / 64) as n, sum(target) over () as v, count(*) over () as m from tgt),
 s1 as (select *, case when v > 0 and n - m / 2 - 1 > 0 then floor(target * (n - m / 2 - 1) / v + 0.5) else 0 end as low, case when v > 0 and n > 0 then floor(target * (n + m / 2 + 1) / v + 0.5) else 0 end as high from s0),
 s2 as (select source_key, j, target / (2 * j - 1) as q from s1, unnest(generate_series(low::bigint + 1, high::bigint)) as u(j)),

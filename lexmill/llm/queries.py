@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import chat, exact_dedup, mixing, near_dedup, packing, pii, secrets, topk
+from lexmill.llm import chat, exact_dedup, mixing, near_dedup, packing, pii, quality, secrets, topk, toxicity
 from lexmill.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -43,8 +47,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op3_packing, op4_exact_topk, op5_chat, op6_exact_dedup, op7_near_dedup, op8_pii, op9_mixing)}
+    return {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_packing, op4_exact_topk, op5_chat, op6_exact_dedup, op7_near_dedup, op8_pii, op9_mixing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

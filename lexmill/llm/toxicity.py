@@ -33,9 +33,13 @@ from lexmill.llm.labelled import sample
 WIDTH, STRIDE = 32, 24
 VECTOR, STATE, ATTENTION = 16, 8, 8
 GRAMS, VOCABULARY = 8192, 3000
-#: Bounds of the training sample: rows of each class, and characters of a row.
-PER_CLASS, MOST_CHARS = 900, 8_000
-PASSES, BATCH, RATE = 24, 256, 0.01
+#: Bounds of the sample of labelled rows: clean and toxic rows, and characters of a row.
+PER_CLASS, MOST_CHARS = (2_700, 900), 20_000
+#: One row of so many in the sample sets the threshold and is not trained on.
+CALIBRATE = 4
+#: The share of toxic documents that the threshold is set for.
+TOXIC_SHARE = 0.1
+PASSES, BATCH, RATE = 8, 256, 0.01
 KEPT = 120_000
 CHUNK = 2048
 LETTERS = 24
@@ -66,6 +70,16 @@ def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return grams[valid], np.concatenate([[0], np.cumsum(counts)[:-1]])
 
 
+def summed(rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """(n, width): the rows of each place `at`, added up."""
+    out = np.zeros((n, rows.shape[1]), dtype=rows.dtype)
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        first = np.flatnonzero(np.diff(at[order], prepend=-1))
+        out[at[order[first]]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
+
+
 class Network:
     """Parameters, the forward pass over windows of word rows, and its gradients."""
 
@@ -223,11 +237,9 @@ def fit(texts: list[str], labels: list[int], seed: int = 7, passes: int = PASSES
             g["input"] = vectors.T[None] @ d_projected
             g["bias"] = d_projected.sum(1, keepdims=True)
             d_vectors = (d_projected @ net.p["input"].transpose(0, 2, 1)).sum(0)
-            g["words"] = np.zeros_like(net.p["words"])
-            np.add.at(g["words"], ids, d_vectors)
+            g["words"] = summed(d_vectors, ids, len(net.p["words"]))
             g["words"][0] = 0
-            g["grams"] = np.zeros_like(net.p["grams"])
-            np.add.at(g["grams"], grams, np.repeat(d_vectors / np.maximum(counts, 1)[:, None], counts.astype(int), axis=0))
+            g["grams"] = summed(np.repeat(d_vectors / np.maximum(counts, 1)[:, None], counts.astype(int), axis=0), grams, GRAMS)
             step += 1
             for k, v in net.p.items():
                 m, s = moments[k]
@@ -237,6 +249,21 @@ def fit(texts: list[str], labels: list[int], seed: int = 7, passes: int = PASSES
     return net
 
 
+def calibrate(net: Network, texts: list[str], labels: list[int], toxic_share: float) -> None:
+    """Move the output so that 0.5 makes the fewest errors at the given share of toxic documents; ties: the middle."""
+    y = np.array(labels)
+    if len(set(labels)) < 2:
+        return
+    logits = Scorer(net).logits(texts)
+    order = np.argsort(logits, kind="stable")
+    # Errors with a cut after k documents: toxic ones below it and clean ones above it.
+    missed = np.concatenate([[0], np.cumsum(y[order])]) / y.sum() * toxic_share
+    raised = (1 - np.concatenate([[0], np.cumsum(1 - y[order])]) / (1 - y).sum()) * (1 - toxic_share)
+    edges = np.concatenate([[logits.min() - 2], logits[order], [logits.max() + 2]])
+    least = np.flatnonzero(missed + raised <= (missed + raised).min() + 1e-12)
+    net.p["out_bias"] -= np.float32((edges[least[0]] + edges[least[-1] + 1]) / 2)
+
+
 def net_logits(net: Network, words: list[str], windows: np.ndarray) -> np.ndarray:
     projected = net.projected(net.vectors(words)[0]) if words else np.zeros((2, 1, 3 * STATE), np.float32)
     return np.concatenate([net.forward(projected, windows[k : k + CHUNK])[0] for k in range(0, len(windows), CHUNK)])
@@ -267,6 +294,9 @@ class Scorer:
         self.place.update(zip(new, range(first, first + len(new)), strict=True))
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
+        return 1 / (1 + np.exp(-self.logits(texts)))
+
+    def logits(self, texts: list[str | None]) -> np.ndarray:
         best = np.full(len(texts), -np.inf)
         held, owners, count = [], [], 0
 
@@ -294,7 +324,7 @@ class Scorer:
                 if count >= CHUNK:
                     flush()
             flush()
-        return 1 / (1 + np.exp(-best))
+        return best
 
 
 def _score(net: Any, prior: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -307,12 +337,22 @@ def _score(net: Any, prior: float) -> Callable[[Iterator[pd.DataFrame]], Iterato
     return score
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, per_class: int = PER_CLASS, most_chars: int = MOST_CHARS) -> DataFrame:
+def trained(rows: list[tuple[str, int]]) -> Network | None:
+    """The network of a sample of (text, label), fitted on one part and calibrated on the other; None without both classes."""
+    part = [k % CALIBRATE == CALIBRATE - 1 for k in range(len(rows))]
+    learn, hold = [[r for r, p in zip(rows, part, strict=True) if p == want] for want in (False, True)]
+    if len({y for _, y in learn}) < 2:
+        return None
+    net = fit([t for t, _ in learn], [y for _, y in learn])
+    calibrate(net, [t for t, _ in hold], [y for _, y in hold], TOXIC_SHARE)
+    return net
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, per_class: tuple[int, int] = PER_CLASS, most_chars: int = MOST_CHARS) -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, score, predicted. Labels of the held fold are not learned from."""
     rows = sample(docs, labels, "toxic", doc_fold(F.col("doc_id"), folds) != held, per_class, most_chars)
-    texts, y = [t for t, _ in rows], [int(v) for _, v in rows]
-    net = fit(texts, y) if len(set(y)) == 2 else None
-    prior = sum(y) / len(y) if y else 0.0
+    net = trained(rows)
+    prior = sum(y for _, y in rows) / len(rows) if rows else 0.0
     clean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(doc_fold(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     scored = clean.mapInPandas(_score(net, prior), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
