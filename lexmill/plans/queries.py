@@ -1,15 +1,338 @@
-"""Queries over the driver's tables, one or more for each operator, and their SQL."""
+"""Queries over the driver's tables, one or more for each operator, and their SQL.
+
+The tables hold no Han text, so all queries read `documents` through the test transform of `functions.text.fixture`. Two
+alphabets are used: the plain one, and one whose letters include a stopword and parts of blocked fragments.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexmill.config import BLOCKLIST, EDGE, STOPWORDS, Settings
+from lexmill.functions import text as T
+from lexmill.operators import exchange, ngrams, scoring, statistics
+from lexmill.operators import tokens as tk
+from lexmill.plans import lexicon as plan
+from lexmill.sources import encoding
+from lexmill.staging import staged
+
+#: Letters z, q, w and x as a stopword and as parts of a blocked fragment.
+MIXED = T.FIXTURE.translate(str.maketrans({T.FIXTURE[25]: "的", T.FIXTURE[16]: "锟", T.FIXTURE[22]: "斤", T.FIXTURE[23]: "拷"}))
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+MIN_FREQ, MAX_LEN = 10, 6
+#: A small table of positions: the characters of a to t.
+POSITIONS = [(c, round(0.05 + 0.9 * (k % 7) / 7, 6), 0.3, round(0.05 + 0.9 * (k % 5) / 5, 6)) for k, c in enumerate(T.FIXTURE[:20])]
+TAGS = [("天地", "n"), ("玄黄", "a"), (T.FIXTURE[19] + T.FIXTURE[7], "v"), (T.FIXTURE[0] + T.FIXTURE[13], "d")]
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _lines(spark: SparkSession, sf_dir: str, letters: str = T.FIXTURE) -> DataFrame:
+    return exchange.spread(_documents(spark, sf_dir).select("doc_id", "lang", "text")).select("doc_id", "lang", T.fixture(F.col("text"), letters).alias("text"))
+
+
+def _counts(spark: SparkSession, sf_dir: str, letters: str = T.FIXTURE) -> DataFrame:
+    return tk.token_counts(tk.tokens(_lines(spark, sf_dir, letters)))
+
+
+def _grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.ngrams(_counts(spark, sf_dir), MAX_LEN)
+
+
+def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(plan.word_statistics(_lines(spark, sf_dir)), "statistics")
+
+
+def _positions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(POSITIONS, "ch string, p_s double, p_m double, p_e double")
+
+
+def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir, MIXED).select("doc_id", T.clean(F.col("text")).alias("cleaned"))
+
+
+def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tk.tokens(_lines(spark, sf_dir, MIXED), keys=("doc_id",)).groupBy("doc_id", "tok").agg(F.count(F.lit(1)).alias("n"))
+
+
+def token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tk.token_offsets(_lines(spark, sf_dir, MIXED), keys=("doc_id",))
+
+
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counts(spark, sf_dir, MIXED)
+
+
+def is_han_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _lines(spark, sf_dir, MIXED).select(F.explode(F.split("text", r"[\x20\x09-\x0D]+", -1)).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return words.select("w", "n", T.is_han(F.col("w")).alias("is_han"), T.all_han(F.col("w")).alias("all_han"))
+
+
+def ngrams_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.side_contexts(_grams(spark, sf_dir), "r")
+
+
+def ngrams_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The left neighbours, with words read from the right, as a pass over reversed texts would give them."""
+    return ngrams.side_contexts(_grams(spark, sf_dir), "l").select(F.reverse("word").alias("word"), "ctx", "c")
+
+
+def ngram_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.contexts(_grams(spark, sf_dir)).groupBy("word", "side").agg(F.count(F.lit(1)).alias("contexts"), F.sum("c").alias("c"))
+
+
+def word_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.word_freq(_grams(spark, sf_dir))
+
+
+def min_freq_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.word_freq(_grams(spark, sf_dir), MIN_FREQ)
+
+
+def right_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.side_entropy(ngrams.side_contexts(_grams(spark, sf_dir), "r"), MIN_FREQ)
+
+
+def left_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.side_entropy(ngrams.side_contexts(_grams(spark, sf_dir), "l"), MIN_FREQ)
+
+
+def entropy_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides made apart, then joined."""
+    grams = staged(_counts(spark, sf_dir), "tokens")
+    grams = ngrams.ngrams(grams, MAX_LEN)
+    right, left = (statistics.side_entropy(ngrams.side_contexts(grams, s), MIN_FREQ) for s in ("r", "l"))
+    return statistics.merged_entropy(right, left)
+
+
+def both_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by one aggregate of both sides."""
+    return plan.word_statistics(_lines(spark, sf_dir))
+
+
+def both_sides_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with contexts counted for frequent words only."""
+    return plan.word_statistics(_lines(spark, sf_dir), prune=True)
+
+
+def entropy_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan.merged(plan.word_statistics(_lines(spark, sf_dir)), 2.0)
+
+
+def single_char_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.single_total(statistics.index(plan.word_statistics(_lines(spark, sf_dir)), MIN_FREQ))
+
+
+def frequency_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.index(plan.word_statistics(_lines(spark, sf_dir)), 25)
+
+
+def binary_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = plan.word_statistics(_lines(spark, sf_dir))
+    return ngrams.binary_splits(stats.select("word", "freq"))
+
+
+def pmi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PMI of all frequent words, single characters included."""
+    stats = _stats(spark, sf_dir)
+    scored = scoring.with_pmi(stats.select("word", "freq"), statistics.index(stats, MIN_FREQ))
+    return scored.select("word", "freq", T.six_places(F.col("pmi")).alias("pmi"))
+
+
+def pmi_missing_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PMI where the index lacks all words of a frequency below 200, so that some words have no known cut."""
+    stats = _stats(spark, sf_dir)
+    scored = scoring.with_pmi(stats.select("word", "freq"), statistics.index(stats, 200))
+    return scored.select("word", "freq", T.six_places(F.col("pmi")).alias("pmi"))
+
+
+def pmi_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pmi(spark, sf_dir).where((F.length("word") >= 2) & (F.col("pmi") >= 1.0))
+
+
+def _frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.word_freq(_grams(spark, sf_dir), MIN_FREQ).where(F.length("word") >= 2)
+
+
+def position_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.with_position(_frequent(spark, sf_dir), _positions(spark))
+
+
+def position_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lexicon(_stats(spark, sf_dir), positions=_positions(spark))
+
+
+def position_missing_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lexicon(_stats(spark, sf_dir), positions=_positions(spark).limit(0))
+
+
+def blocklist_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = statistics.word_freq(ngrams.ngrams(_counts(spark, sf_dir, MIXED), MAX_LEN), 3)
+    return scoring.without_artifacts(words)
+
+
+def pos_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.with_tags(_frequent(spark, sf_dir), spark.createDataFrame(TAGS, "word string, tag string"))
+
+
+def bucket_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in 16 buckets by CRC; each bucket sorted."""
+    return exchange.sorted_buckets(_frequent(spark, sf_dir), 16)
+
+
+def union_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [_documents(spark, sf_dir, n).select(T.fixture(F.col("text")).alias("text")) for n in ("documents", "conversations", "benchmark")]
+    return tk.token_counts(tk.tokens(exchange.concatenated(*parts)))
+
+
+def sorted_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exchange.sorted_ranges(_frequent(spark, sf_dir), 8)
+
+
+def _lexicon(stats: DataFrame, **more) -> DataFrame:
+    words = scoring.ordered(plan.lexicon_of(stats, Settings(), **more))
+    return words.withColumn("pmi", T.six_places(F.col("pmi")))
+
+
+def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lexicon(_stats(spark, sf_dir))
+
+
+def lexicon_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon(spark, sf_dir).limit(50)
+
+
+def lexicon_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One lexicon for each language, by the same plan with a key."""
+    stats = staged(plan.word_statistics(_lines(spark, sf_dir), keys=("lang",)), "statistics")
+    words = plan.lexicon_of(stats, Settings(), keys=("lang",))
+    return words.withColumn("pmi", T.six_places(F.col("pmi")))
+
+
+def detect_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The encodings that are found in documents written as UTF-8, GBK, or BIG5 by turns."""
+    lines = _lines(spark, sf_dir).select("doc_id", "text")
+    names = F.element_at(F.array(*map(F.lit, ("utf-8", "gb18030", "big5"))), (F.col("doc_id") % 3 + 1).cast("int"))
+
+    @F.pandas_udf("string")
+    def found(text, name):
+        import pandas as pd
+
+        return pd.Series([encoding.detect([(t or "").encode(n, errors="replace")]) for t, n in zip(text, name, strict=True)])
+
+    return lines.select("doc_id", names.alias("written"), found("text", names).alias("found")).groupBy("written", "found").agg(F.count(F.lit(1)).alias("n"))
+
+
+def queries() -> dict[str, Query]:
+    return {f.__name__: f for f in _QUERIES}
+
+
+_QUERIES: tuple[Query, ...] = (
+    clean_text, tokenize, token_offsets, token_counts, is_han_word, ngrams_forward, ngrams_backward, ngram_contexts, word_freq, min_freq_filter, right_entropy,
+    left_entropy, entropy_merge, both_sides, both_sides_pruned, entropy_threshold, single_char_total, frequency_index, binary_splits, pmi, pmi_missing_parts,
+    pmi_filter, position_score, position_filter, position_missing_table, blocklist_filter, pos_tag, bucket_hash, union_corpora, sorted_words, lexicon,
+    lexicon_top, lexicon_by_lang, detect_encoding,
+)
+
+
+def _sql_lines(letters: str = T.FIXTURE) -> str:
+    return f"d as (select doc_id, lang, translate(lower(text), '{LETTERS}', '{letters}') as text from documents)"
+
+
+_SQL_TOKENS = f"""t as (select doc_id, lang, unnest(regexp_extract_all(translate(text, '{STOPWORDS}', '{" " * len(STOPWORDS)}'), '[一-龥]+')) as tok from d),
+tc as (select tok, count(*) as c from t where length(tok) >= 2 group by tok)"""
+_SQL_GRAMS = f"""g as (select substr(tok, i, j) as word, case when i = 1 then '{EDGE}' else substr(tok, i - 1, 1) end as l,
+  case when i + j > length(tok) then '{EDGE}' else substr(tok, i + j, 1) end as r, c
+  from tc, unnest(generate_series(1, length(tok))) as a(i), unnest(generate_series(1, least({MAX_LEN}, length(tok) - i + 1))) as b(j))"""
+_SQL_FREQ = "f as (select word, sum(c)::bigint as freq from g group by word)"
+
+
+def _sql_side(name: str, side: str, keys: str = "") -> str:
+    return f"""{name} as (select {keys}word, sum(c)::bigint as freq, greatest(0, round(log2(sum(c)::double) - sum(c * log2(c::double)) / sum(c), 6)) as entropy
+  from (select {keys}word, {side} as ctx, sum(c)::double as c from g group by all) group by all having sum(c) >= {MIN_FREQ})"""
+
+
+def _with(*parts: str) -> str:
+    return "with " + ",\n".join(parts) + "\n"
+
+
+_BASE = _with(_sql_lines(), _SQL_TOKENS, _SQL_GRAMS)
+_STATS = _with(_sql_lines(), _SQL_TOKENS, _SQL_GRAMS, _sql_side("rs", "r"), _sql_side("ls", "l"), "m as (select rs.word, rs.freq, least(rs.entropy, ls.entropy) as entropy, rs.entropy as right_entropy, ls.entropy as left_entropy from rs join ls using (word))")
+
+
+def _sql_pmi(least: int = MIN_FREQ) -> str:
+    """p: word, freq, pmi of all words of m."""
+    return f""",
+ix as (select word, freq from m where freq >= {least}),
+tot as (select coalesce(sum(freq), 0)::bigint as total from ix where length(word) = 1),
+sp as (select word, substr(word, 1, s) as prefix, substr(word, s + 1) as suffix from m, unnest(generate_series(1, length(word) - 1)) as u(s)),
+pr as (select sp.word, max(a.freq::double * b.freq) as product from sp join ix a on a.word = prefix join ix b on b.word = suffix group by sp.word),
+p as (select m.word, m.freq, m.entropy, coalesce(case when freq * total / product > 0 then log2(freq::double * total / product) end, 0) as pmi from m cross join tot left join pr using (word))
+"""
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+_BLOCKED = " and ".join(f"not contains(word, '{b}')" for b in BLOCKLIST)
+_LEXICON = f"select word, freq, round(pmi, 6) as pmi, entropy, 0.0::double as pos_prob, 'x' as pos from p where length(word) >= 2 and entropy >= 2 and pmi >= 1 and {_BLOCKED}"
+_POSITIONS = "pos(ch, p_s, p_e) as (values " + ", ".join(f"('{c}', {s}::double, {e}::double)" for c, s, _, e in POSITIONS) + ")"
+_SCORED = "case when a.p_s is not null and b.p_e is not null then least(a.p_s, b.p_e) else 0 end"
+_PLACED = "left join pos a on a.ch = substr(word, 1, 1) left join pos b on b.ch = substr(word, -1, 1)"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    mixed = _with(_sql_lines(MIXED), _SQL_TOKENS)
+    entropies = "select word, freq, entropy from"
+    by_lang = _with(
+        _sql_lines(),
+        _SQL_TOKENS.replace("select tok, count(*) as c from t where length(tok) >= 2 group by tok", "select lang, tok, count(*) as c from t where length(tok) >= 2 group by all"),
+        _SQL_GRAMS.replace("g as (select", "g as (select lang,"),
+        _sql_side("rs", "r", "lang, "),
+        _sql_side("ls", "l", "lang, "),
+        "m as (select rs.lang, rs.word, rs.freq, least(rs.entropy, ls.entropy) as entropy from rs join ls on rs.lang is not distinct from ls.lang and rs.word = ls.word)",
+        "tot as (select lang, sum(freq)::bigint as total from m where length(word) = 1 group by lang)",
+        "sp as (select lang, word, substr(word, 1, s) as prefix, substr(word, s + 1) as suffix from m, unnest(generate_series(1, length(word) - 1)) as u(s))",
+        "pr as (select sp.lang, sp.word, max(a.freq::double * b.freq) as product from sp join m a on a.lang = sp.lang and a.word = prefix join m b on b.lang = sp.lang and b.word = suffix group by all)",
+        "p as (select m.*, coalesce(log2(freq::double * total / product), 0) as pmi from m join tot using (lang) left join pr using (lang, word))",
+    )
+    return {
+        "clean_text": _with(_sql_lines(MIXED)) + rf"select doc_id, regexp_replace(text, '[\p{{P}}\p{{S}}\p{{Z}}\p{{C}}\p{{M}}\x{{3000}}{STOPWORDS}]', ' ', 'g') as cleaned from d",
+        "tokenize": mixed + "select doc_id, tok, count(*) as n from t where length(tok) >= 2 group by doc_id, tok",
+        "token_offsets": _with(_sql_lines(MIXED), f"""s as (select doc_id, regexp_extract_all(translate(text, '{STOPWORDS}', '{" " * len(STOPWORDS)}'), '[一-龥]+|[^一-龥]+') as parts from d),
+u as (select doc_id, parts[k] as tok, k from s, unnest(generate_series(1, len(parts))) as v(k)),
+o as (select doc_id, tok, sum(length(tok)) over (partition by doc_id order by k) as e from u)""") + "select doc_id, tok, (e - length(tok))::int as start, e::int as \"end\" from o where regexp_full_match(tok, '[一-龥]{2,}')",
+        "token_counts": mixed + "select tok, c from tc",
+        "is_han_word": _with(_sql_lines(MIXED), r"w as (select unnest(regexp_split_to_array(text, '[\x20\x09-\x0D]+')) as w from d)") + "select w, count(*) as n, regexp_full_match(w, '[一-龥]') as is_han, regexp_full_match(w, '[一-龥]*') as all_han from w group by w",
+        "ngrams_forward": _BASE + "select word, r as ctx, sum(c)::bigint as c from g group by all",
+        "ngrams_backward": _BASE + "select reverse(word) as word, l as ctx, sum(c)::bigint as c from g group by all",
+        "ngram_contexts": _BASE + "select word, side, count(distinct ctx) as contexts, sum(c)::bigint as c from (select word, 'r' as side, r as ctx, c from g union all select word, 'l', l, c from g) group by all",
+        "word_freq": _BASE + "select word, sum(c)::bigint as freq from g group by word",
+        "min_freq_filter": _BASE + f"select word, sum(c)::bigint as freq from g group by word having sum(c) >= {MIN_FREQ}",
+        "right_entropy": _STATS + f"{entropies} rs",
+        "left_entropy": _STATS + f"{entropies} ls",
+        "entropy_merge": _STATS + f"{entropies} m",
+        "both_sides": _STATS + "select word, freq, right_entropy, left_entropy from m",
+        "both_sides_pruned": _STATS + "select word, freq, right_entropy, left_entropy from m",
+        "entropy_threshold": _STATS + f"{entropies} m where entropy >= 2",
+        "single_char_total": _STATS + "select coalesce(sum(freq), 0)::bigint as total from m where length(word) = 1",
+        "frequency_index": _STATS + "select word, freq from m where freq >= 25",
+        "binary_splits": _STATS + "select word, freq, s::int as s, substr(word, 1, s) as prefix, substr(word, s + 1) as suffix from m, unnest(generate_series(1, length(word) - 1)) as u(s)",
+        "pmi": _STATS.rstrip() + _sql_pmi() + "select word, freq, round(pmi, 6) as pmi from p",
+        "pmi_missing_parts": _STATS.rstrip() + _sql_pmi(200) + "select word, freq, round(pmi, 6) as pmi from p",
+        "pmi_filter": _STATS.rstrip() + _sql_pmi() + "select word, freq, round(pmi, 6) as pmi from p where length(word) >= 2 and round(pmi, 6) >= 1",
+        "position_score": _BASE.rstrip() + f",\n{_SQL_FREQ},\n{_POSITIONS}\nselect word, freq, {_SCORED} as pos_prob from f {_PLACED} where freq >= {MIN_FREQ} and length(word) >= 2",
+        "position_filter": _STATS.rstrip() + _sql_pmi().rstrip() + f",\n{_POSITIONS}\nselect word, freq, round(pmi, 6) as pmi, entropy, {_SCORED} as pos_prob, 'x' as pos from p {_PLACED} where length(word) >= 2 and entropy >= 2 and pmi >= 1 and {_SCORED} >= 0.1",
+        "position_missing_table": _STATS.rstrip() + _sql_pmi() + _LEXICON,
+        "blocklist_filter": _with(_sql_lines(MIXED), _SQL_TOKENS, _SQL_GRAMS, _SQL_FREQ) + f"select word, freq from f where freq >= 3 and {_BLOCKED}",
+        "pos_tag": _BASE.rstrip() + f",\n{_SQL_FREQ},\ntags(word, tag) as (values {', '.join(map(str, TAGS))})\nselect word, freq, coalesce(tag, 'x') as pos from f left join tags using (word) where freq >= {MIN_FREQ} and length(word) >= 2",
+        "union_corpora": _with(f"d as (select 0 as doc_id, '' as lang, translate(lower(text), '{LETTERS}', '{T.FIXTURE}') as text from (select text from documents union all select text from conversations union all select text from benchmark))", _SQL_TOKENS) + "select tok, c from tc",
+        "sorted_words": _BASE.rstrip() + f",\n{_SQL_FREQ}\nselect word, freq from f where freq >= {MIN_FREQ} and length(word) >= 2 order by word",
+        "lexicon": _STATS.rstrip() + _sql_pmi() + f"{_LEXICON} order by freq desc, word",
+        "lexicon_top": _STATS.rstrip() + _sql_pmi() + f"{_LEXICON} order by freq desc, word limit 50",
+        "lexicon_by_lang": by_lang + _LEXICON.replace("select word", "select lang, word"),
+    }
