@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.staging import release, shared_dir, staged
+
 #: The white space of all contracts, as a character class of Java and RE2.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-_OWN = "lexmill.staging"
+__all__ = ["SPACE", "WORD", "doc_fold", "release", "shared_dir", "staged", "table", "text_or_empty"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,34 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir; a temporary one only where it is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(_OWN, None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="lexmill-")
-        spark.conf.set(_OWN, found)
-    return f"{found.rstrip('/')}/lexmill"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as a table of the shared folder and read again.
-
-    It cuts the lineage: an executor's loss after it costs no recomputation, and readers that need only some columns
-    read only those. The files stay until `release`.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete all staged tables of this session's shared folder; no result that rests on them may be read after."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def text_or_empty(text: Column | str = "text") -> Column:
     """The text, with the empty string for null."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

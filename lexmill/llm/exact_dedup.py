@@ -110,9 +110,12 @@ class CuckooIndex:
                 return
 
     def groups(self) -> pd.DataFrame:
-        return pd.DataFrame(
-            {"digest": list(self.stored), "keep_id": [g[0] for g in self.stored.values()], "group_size": [g[1] for g in self.stored.values()]}
-        ).astype({"keep_id": "int64", "group_size": "int64"})
+        return _frame(self.stored)
+
+
+def _frame(stored: dict[bytes, list[int]]) -> pd.DataFrame:
+    out = {"digest": list(stored), "keep_id": [g[0] for g in stored.values()], "group_size": [g[1] for g in stored.values()]}
+    return pd.DataFrame(out).astype({"keep_id": "int64", "group_size": "int64"})
 
 
 def normalised(text: Column | str = "text") -> Column:
@@ -140,19 +143,19 @@ def _partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by bucket, so one bucket's index is held at a time."""
+    """Rows come sorted by bucket, so one bucket's index is held at a time, and the groups of those done."""
     index, at = CuckooIndex(), None
+    done: dict[bytes, list[int]] = {}
     for frame in frames:
-        done = []
         for bucket, digest, keep, rows in zip(frame["bucket"], frame["digest"], frame["keep_id"], frame["group_size"], strict=True):
             if bucket != at:
-                if index.stored:
-                    done.append(index.groups())
+                done |= index.stored
                 index, at = CuckooIndex(), bucket
             index.add(bytes(digest), keep, rows)
-        yield from done
-    if index.stored:
-        yield index.groups()
+        if len(done) >= FLUSH_KEYS:
+            yield _frame(done)
+            done = {}
+    yield _frame(done | index.stored)
 
 
 def digest_groups(keyed: DataFrame) -> DataFrame:
