@@ -43,6 +43,8 @@ CACHE = 300_000
 GROUP = 1024
 VOCABULARY = "word_bpe_49k.json"
 _ODD = re.compile("[\x1c-\x1f]")
+#: A comma or full stop at a chunk's end that a sign stands before, with which it is one pre-token.
+_SIGN_RUN = re.compile(r"[^a-z\xdf-\xf6\xf8-\xff0-9 \n][,.][ \n]")
 _SPACES = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 NO_RANK = np.iinfo(np.int32).max
@@ -188,7 +190,7 @@ class ChunkEncoder:
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Texts are taken in groups, so that the words new to a group are merged together."""
         for first in range(0, len(texts), GROUP):
-            group = [(t.split() if not _ODD.search(t) else [c for c in _SPACES.split(t) if c]) if t else [] for t in texts[first : first + GROUP]]
+            group = [_chunks(t) if t else [] for t in texts[first : first + GROUP]]
             if len(self.young) > self.limit:
                 self.old, self.young = self.young, {}
             young, old = self.young, self.old
@@ -201,6 +203,24 @@ class ChunkEncoder:
                 yield b"".join(map(young.__getitem__, chunks))
 
 
+def _chunks(text: str) -> list[str]:
+    """The text cut at white space, where no pre-token spans; case doesn't count.
+
+    Where commas and full stops at chunks' ends follow letters or digits, they are cut off too, as pre-tokens of their own:
+    the chunks are then plain words, and far fewer are distinct.
+    """
+    if _ODD.search(text):
+        return [c for c in _SPACES.split(text) if c]
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text.split()
+    low = text.lower()
+    if _SIGN_RUN.search(low):
+        return low.split()
+    return low.replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ").replace(",\n", " , ").split()
+
+
 def cuts(rest: int, capacity: int = CAPACITY, slack: float = SLACK) -> list[tuple[int, int]]:
     """(length, class) of the pieces of a rest below the capacity, in the order of its tokens."""
     pieces = []
