@@ -58,6 +58,8 @@ def _one_file(lines: DataFrame, path: str, header: str | None) -> None:
         store.delete(target, False)
         if not store.rename(draft, target):
             raise OSError(f"can't write {path}")
+        # Local stores put a checksum beside each file, which other programs' changes to the file would make wrong.
+        store.delete(jvm.org.apache.hadoop.fs.Path(parent, f".{target.getName()}.crc"), False)
     finally:
         store.delete(folder, True)
 
