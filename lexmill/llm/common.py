@@ -10,7 +10,7 @@ from lexmill.staging import release, shared_dir, staged
 #: The white space of all contracts, as a character class of Java and RE2.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-__all__ = ["SPACE", "WORD", "doc_fold", "release", "shared_dir", "staged", "table", "text_or_empty"]
+__all__ = ["SPACE", "WORD", "boxed", "doc_fold", "release", "shared_dir", "staged", "table", "text_or_empty"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """All columns as one, `doc`, so that further columns can't clash with them; `select("doc.*")` gives them back."""
+    return docs.select(F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias("doc"))
+
+
 def text_or_empty(text: Column | str = "text") -> Column:
     """The text, with the empty string for null."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -6,8 +6,8 @@ its stored keys. A miss of the filter proves a key new; a hit is verified agains
 deleted again, and a filter that overflows is rebuilt with twice the room from the stored keys.
 
 Defined results: a null text counts as empty, so all null and empty texts are one group; of equal texts the smallest
-doc_id stays, and rows that repeat a doc_id with equal text are all marked kept with it; an empty table gives an empty
-result; further columns of the input are ignored.
+doc_id stays, and rows that repeat a doc_id with equal text are all marked kept with it; a row without an id is a group of
+its own and stays; an empty table gives an empty result; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import SPACE, staged, text_or_empty
+from lexmill.llm.common import SPACE, boxed, staged, text_or_empty
 
 SLOTS = 4
 KICKS = 200
@@ -175,21 +175,22 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """
     keyed = staged(digests(docs, text, doc_id), "digests")
     shared = digest_groups(keyed).where("group_size > 1")
+    own = F.col("doc_id").isNull() | F.col("group_size").isNull()
     return keyed.join(shared, "digest", "left").select(
         "doc_id",
-        F.coalesce("keep_id", "doc_id").alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce(F.col("keep_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
+        F.when(own, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.when(own, F.lit(1)).otherwise(F.col("group_size")).cast("long").alias("group_size"),
+        (own | (F.col("keep_id") == F.col("doc_id"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay, with all their columns; of rows that repeat both id and text, one."""
-    verdict = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_sha")).distinct()
-    keyed = docs.withColumn("_sha", F.sha2(normalised(), 256))
-    found = keyed.join(verdict, (keyed["doc_id"].cast("long") == verdict["_kept"]) & (keyed["_sha"] == verdict["_sha"]), "left_semi")
-    return found.dropDuplicates(["doc_id", "_sha"]).drop("_sha").select(*docs.columns)
+    verdict = exact_dedup(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")).distinct()
+    keyed = boxed(docs).select("doc", F.col("doc.doc_id").cast("long").alias("id"), F.sha2(normalised(F.col("doc.text")), 256).alias("sha"))
+    found = keyed.join(verdict, (F.col("id") == F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")), "left_semi").dropDuplicates(["id", "sha"])
+    return found.unionByName(keyed.where("id is null")).select("doc.*")
 
 
 SQL = r"""

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import WORD, staged, text_or_empty
+from lexmill.llm.common import WORD, boxed, staged, text_or_empty
 
 BLOCK = 64
 MAX_REPEATS = 3
@@ -113,12 +113,12 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of `docs` as often as the mix takes them whole, with all their columns; empty texts leave."""
-    fresh = docs.withColumn("_size", word_count())
-    picks = mix(docs).where("whole > 0").groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_n")).agg(F.sum("whole").alias("_sum"), F.count(F.lit(1)).alias("_rows"))
-    joined = fresh.join(picks, (fresh["doc_id"].cast("long") == picks["_id"]) & (fresh["_size"] == picks["_n"]))
+    fresh = boxed(docs).withColumn("size", word_count(F.col("doc.text")))
+    picks = mix(docs).where("whole > 0").groupBy(F.col("doc_id").alias("id"), F.col("size").alias("n")).agg(F.sum("whole").alias("sum"), F.count(F.lit(1)).alias("rows"))
+    joined = fresh.join(picks, F.col("doc.doc_id").cast("long").eqNullSafe(F.col("id")) & (F.col("size") == F.col("n")))
     # Rows that repeat an id and a size share their rounds evenly.
-    times = F.ceil(F.col("_sum") / F.col("_rows")).cast("int")
-    return joined.withColumn("_time", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    times = F.ceil(F.col("sum") / F.col("rows")).cast("int")
+    return joined.select("doc", F.explode(F.sequence(F.lit(1), times)).alias("time")).select("doc.*")
 
 
 SQL = r"""

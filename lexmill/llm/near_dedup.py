@@ -17,8 +17,8 @@ Hot groups: copies are pre-aggregated; a bucket or cluster of any size is cut in
 joins that bring results back to the copies are on keys that adaptive execution may split.
 
 Defined results: null texts and texts without words have an empty set, size 0, and are linked with nothing; with one or two
-words the whole sequence is the only shingle; repeated rows have equal sets and so one component; an empty table gives an
-empty result; further columns are ignored.
+words the whole sequence is the only shingle; repeated rows have equal sets and so one component; a row without an id is
+never the smallest of its component and is kept; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import staged
+from lexmill.llm.common import boxed, staged
 from lexmill.llm.graph import components
 
 SYMBOLS = 64
@@ -312,8 +312,8 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word
 
 def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` whose document stays, with all their columns: of each component, the smallest doc_id."""
-    gone = near_dedup(docs, words=words, percent=percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti").select(*docs.columns)
+    gone = near_dedup(docs, words=words, percent=percent).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    return boxed(docs).join(gone, F.col("doc.doc_id").cast("long") == F.col("gone"), "left_anti").select("doc.*")
 
 
 SQL = r"""

@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import count
 from typing import Any
 
 import numpy as np
@@ -40,6 +41,8 @@ CALIBRATE = 4
 #: The share of toxic documents that the threshold is set for.
 TOXIC_SHARE = 0.1
 PASSES, BATCH, RATE = 7, 256, 0.01
+#: A small sample is gone over again until so many batches are done.
+LEAST_BATCHES = 360
 KEPT = 120_000
 CHUNK = 2048
 LETTERS = 24
@@ -213,7 +216,9 @@ def fit(texts: list[str], labels: list[int], seed: int = 7, passes: int = PASSES
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
     clean = np.flatnonzero(~positive)
-    for turn in range(passes):
+    for turn in count():
+        if turn >= passes and step >= LEAST_BATCHES:
+            break
         toxic, hard = np.flatnonzero(positive), clean[:0]
         if turn:  # of a toxic document the highest window and all that are surely toxic, of a clean one the highest
             # Of the clean documents a third is searched for hard windows in each pass.
