@@ -39,6 +39,8 @@ END = 1
 SLACK = 0.03
 #: Distinct chunks that a worker's cache holds; as many of the generation before, and words.
 CACHE = 300_000
+#: Tokens of finished sequences that a worker holds.
+HELD = 1 << 18
 #: Texts whose new words are merged together.
 GROUP = 1024
 VOCABULARY = "word_bpe_49k.json"
@@ -295,7 +297,7 @@ def _pack(vocabulary: Callable[[], str], capacity: int, slack: float, with_ids:
             offset = 0
             for (doc_id, ids, tokens), start, length in sequence:
                 part = ids[4 * start : 4 * (start + length)]
-                out.append((doc_id, start, length, zlib.crc32(part), tokens, n, offset, *([memoryview(part).cast("I").tolist()] if with_ids else [])))
+                out.append((doc_id, start, length, zlib.crc32(part), tokens, n, offset, *([np.frombuffer(part, dtype="<u4").astype(np.int32)] if with_ids else [])))
                 offset += length
         names = [x.split()[0] for x in PIECES.split(", ")] + ["ids"] * with_ids
         frame = pd.DataFrame(out, columns=names)
@@ -320,7 +322,7 @@ def _pack(vocabulary: Callable[[], str], capacity: int, slack: float, with_ids:
                     if whole is ids and len(ids) > 8 * capacity:
                         held_pieces[-1] = (d, _Part(whole[4 * start : 4 * (start + length)], start), n), start, length
                 held += tokens
-                if held > 1 << 20:
+                if held > HELD:
                     yield rows(done, first)
                     first += len(done)
                     done, held = [], 0
