@@ -47,6 +47,8 @@ VOCABULARY = "word_bpe_49k.json"
 _ODD = re.compile("[\x1c-\x1f]")
 #: A comma or full stop at a chunk's end that a sign stands before, with which it is one pre-token.
 _SIGN_RUN = re.compile(r"[^a-z\xdf-\xf6\xf8-\xff0-9 \n][,.][ \n]")
+#: Small letters whose form is their own normal form: a chunk of them is one pre-token.
+_PLAIN = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]{1,128}").fullmatch
 _SPACES = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 NO_RANK = np.iinfo(np.int32).max
@@ -168,6 +170,11 @@ class ChunkEncoder:
         self.words: dict[str, bytes] = {}
 
     def _learn(self, missing: list[str]) -> None:
+        plain = list(filter(_PLAIN, missing))
+        self.young.update(zip(plain, self.merge([w.encode() for w in plain]), strict=True))
+        if len(plain) == len(missing):
+            return
+        missing = [c for c in missing if c not in self.young]
         split: list[tuple[str, list[str]]] = []
         hard = []
         for chunk in missing:
