@@ -9,6 +9,12 @@ different, and equal values have one pseudonym in all documents, however they ar
   by a keyed hash of the other half. Signs and case stay. A card's last digit is its new Luhn digit.
 * Numbers (dates as days of one 400-year cycle, 189 x 773; IPv4 addresses, 65536 x 65536): the same over two residues.
 
+Values may stand beside other digits ("2 4111-1111-1111-1111", lists of phone numbers): card numbers of the usual groupings are
+looked for at each group of digits, and only those with a right Luhn digit take part in the search with the other kinds, so a
+run of digits that is no card hides nothing. Those that begin as issuers' numbers do come first. What is left between the
+values is searched again for other numbers of these groupings, and then for 13 to 19 digits grouped in any way, where a run
+is taken from its start only: a number of an unusual grouping right behind other digits isn't told from them, and stays.
+
 Everything is DataFrame functions: the text is split at the values, values are mapped within the row, and the parts are
 joined again; no shuffle.
 
@@ -33,10 +39,26 @@ ISO_DATE = r"(?<![0-9-])(?:1[89]|2[01])[0-9]{2}-[01][0-9]-[0-3][0-9](?![0-9-])"
 DAY_DATE = r"(?<![0-9./])[0-3]?[0-9]([./])[0-3]?[0-9]\1(?:1[89]|2[01])[0-9]{2}(?![0-9]|[./][0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
-PHONE = r"(?<![0-9+(])(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5}(?![0-9])"
+NEAR_PHONE = r"(?<![0-9+(])(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
+#: The groups of a far phone number stop before a card number; %s is for the card numbers of the text.
+FAR_PHONE = r"(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?%s\(?[0-9]{1,4}\)?){2,5}(?![0-9])"
+PHONE = f"{NEAR_PHONE}|{FAR_PHONE % ''}"
 KINDS = {"email": EMAIL, "ip": IPV4, "iso_date": ISO_DATE, "day_date": DAY_DATE, "ssn": SSN, "card": CARD, "phone": PHONE}
 #: The day-first pattern refers to its own group, which stays the first as no other has one.
 ANY = "|".join(KINDS.values())
+BEFORE_CARDS = "|".join(KINDS[k] for k in ("email", "ip", "iso_date", "day_date", "ssn"))
+#: The digits from each beginning of a group on, one more at least than a card may have.
+GROUP_STARTS = r"(?<![0-9])(?=([0-9](?:[ -]?[0-9]){12,24}))"
+#: Usual groupings of card numbers, with one kind of sign between the groups; the first that is valid counts.
+GROUPINGS = [[4, 4, 4, 4], [4, 6, 5], [4, 6, 4], [4, 4, 4, 4, 3], [4, 3, 3, 3], [6, 13], [8, 11]]
+LONG = [4, 4, 4, 4, 3]
+CARD_FORMS = [
+    "6[0-9]{3}" + "|6[0-9]{3}".join("".join(f"{sign}[0-9]{{{n}}}" for n in LONG[1:]) for sign in " -"),
+    *["|".join(sign.join(f"[0-9]{{{n}}}" for n in sizes) for sign in " -") for sizes in GROUPINGS],
+    "[0-9]{13,19}",
+]
+#: How issuers' numbers begin; others are valid, too, but less sure beside other digits.
+ISSUED = "^(?:[3-6]|2[2-7])"
 #: Texts without any of these hold no value.
 SOME = r"@|[0-9][0-9 ().+/-]{5}"
 CYCLE = (189, 773)
@@ -110,6 +132,36 @@ def _card(m: Column, key: str) -> Column:
     return F.when(luhn_sum(digits, True) % 10 == 0, _refilled(m, F.concat(body, check))).otherwise(m)
 
 
+def _valid_cards(found: Column) -> Column:
+    """Those of an array of strings that have a right Luhn digit."""
+    return F.filter(found, lambda m: (m != "") & (luhn_sum(F.regexp_replace(m, "[^0-9]", ""), True) % 10 == 0))
+
+
+def _usual_cards(t: Column) -> Column:
+    """All valid card numbers of the usual groupings, also those that overlap."""
+    form = lambda w: F.array(*[F.regexp_extract(w, f"^(?:{x})(?![0-9])", 0) for x in CARD_FORMS])
+    return _valid_cards(F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(t, F.lit(GROUP_STARTS), F.lit(1)), form))))
+
+
+def _either(numbers: Column) -> Column:
+    """A pattern of any of the numbers; it never matches when there are none."""
+    return F.when(F.size(numbers) > 0, F.concat(F.lit("(?<![0-9])(?:"), F.array_join(numbers, "|"), F.lit(")(?![0-9])"))).otherwise(F.lit("(?!)"))
+
+
+def patterned(clean: DataFrame, some: Column) -> DataFrame:
+    """With a column `pattern`: what the values of each text `t` match, its card numbers literally."""
+    t, none = F.col("t"), F.array().cast("array<string>")
+    carded = clean.withColumn("digits", some & t.rlike(CARD))
+    issued = F.filter(_usual_cards(t), lambda m: m.rlike(ISSUED))
+    known = carded.withColumn("cards", _either(F.when(F.col("digits"), issued).otherwise(none)))
+    before, after = FAR_PHONE.split("%s")
+    first = known.withColumn("first", F.concat(F.lit(f"{BEFORE_CARDS}|"), "cards", F.lit(f"|{NEAR_PHONE}|{before}(?!"), "cards", F.lit(f"){after}")))
+    left = lambda g: F.concat(_usual_cards(g), _valid_cards(F.regexp_extract_all(g, F.lit(CARD), F.lit(0))))
+    rest = F.array_distinct(F.flatten(F.transform(F.filter(F.split(t, F.col("first"), -1), lambda g: g.rlike(CARD)), left)))
+    other = first.withColumn("other", F.when(F.col("digits"), rest).otherwise(none))
+    return other.withColumn("pattern", F.when(F.size("other") > 0, F.concat("first", F.lit("|"), _either(F.col("other")))).otherwise(F.col("first")))
+
+
 def _date(m: Column, day: Column, form: Column | str, key: str, name: str) -> Column:
     days = F.datediff(day, F.lit("1800-01-01").cast("date"))
     moved = permuted(days % CYCLE[0], F.floor(days / CYCLE[0]), *CYCLE, key, name)
@@ -158,8 +210,9 @@ def pseudonymised(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k
     """One row per row of `docs`: doc_id, n_found (values replaced), pseudonyms (the new values), text (with them)."""
     clean = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("own"), text_or_empty(text).alias("t"))
     t, none = F.col("t"), F.array().cast("array<string>")
-    some = t.rlike(SOME) & t.rlike(ANY)
-    cut = clean.select("doc_id", "own", F.when(some, F.split(t, ANY, -1)).otherwise(none).alias("between"), F.when(some, F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(none).alias("values"))
+    some = F.col("some")
+    known = patterned(clean.withColumn("some", t.rlike(SOME) & t.rlike(ANY)), some)
+    cut = known.select("doc_id", "own", F.when(some, F.split(t, F.col("pattern"), -1)).otherwise(none).alias("between"), F.when(some, F.regexp_extract_all(t, F.col("pattern"), F.lit(0))).otherwise(none).alias("values"))
     mapped = cut.withColumn("new", F.transform("values", lambda m: pseudonym(m, key)))
     joined = F.array_join(F.zip_with("between", "new", lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")
     changed = F.filter(F.arrays_zip(F.col("values").alias("v"), F.col("new").alias("n")), lambda z: z["v"] != z["n"])

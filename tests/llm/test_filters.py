@@ -83,6 +83,25 @@ def test_pseudonyms_keep_format_and_link_equal_values(spark):
     assert rows[n + 2].text.endswith(new[0])
 
 
+def test_pseudonyms_of_values_beside_other_digits(spark):
+    """Values that stand beside others or beside plain numbers are found, each with the pseudonym that it has alone."""
+    card, plain_card, amex, phone, odd = "4111-1111-1111-1111", "4111111111111111", "3782 822463 10005", "555-123-4567", "41111 11111 11111 1"
+    spaced, far = "4111 1111 1111 1111", "+44 20 7946 0958"
+    cases = [
+        ("call {} {}", [phone, "555-987-6543"]), ("{} {} {}", [phone, "555-987-6543", "555-222-3333"]), ("qty 2 {}", [card]), ("id 12 {}", [plain_card]), ("{} {}", [phone, spaced]),
+        ("{} {}", [spaced, phone]), ("{} 7 {} 12", [spaced, amex]), ("2023 {} 2024", [spaced]), ("{} {}", [spaced, "28.02.2023"]), ("{} {}", [spaced, "123-45-6789"]),
+        ("{} {} {}", [card, spaced, plain_card]), ("{} {}", [far, spaced]), ("1234567890123 {}", [phone]), ("<{}>", [odd]), ("1 22 333 4444 1 22 333 4444", []),
+        ("17 {}", ["1234-5678-9012-3452"]), ("{}, {}", ["4111111111111111@mail.example.com", card]),
+    ]
+    texts = [c.format(*v) for c, v in cases]
+    alone = sorted({v for _, values in cases for v in values})
+    new = {alone[r.doc_id]: r.text for r in pii.pseudonymised(docs_of(spark, alone)).collect()}
+    rows = {r.doc_id: r for r in pii.pseudonymised(docs_of(spark, texts)).collect()}
+    for k, (c, values) in enumerate(cases):
+        assert rows[k].text == c.format(*[new[v] for v in values]), texts[k]
+        assert all(new[v] != v for v in values) and rows[k].n_found == len(values), texts[k]
+
+
 def test_pseudonyms_are_one_to_one(spark):
     """All days of four years, and all values of a small domain, map to different ones."""
     days = spark.range(1461).select(F.date_format(F.date_add(F.lit("2019-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("v"))
