@@ -6,7 +6,8 @@ pigeonhole, two signatures that differ in at most 2 * CHUNKS - 1 symbols (`RADIU
 chunk therefore gives one key for each of its symbols left out, and all pairs within the radius share a key. At similarity
 0.85 a pair lies outside the radius with a probability of about 1e-5, and it falls steeply above.
 
-1. Sets of equal content are one node (size and two 64-bit sums of the set), so exact copies never meet as pairs.
+1. Sets of equal content are one node (size and two 64-bit sums of the set), so exact copies never meet as pairs. It stands for
+   a row that has an id, by which its text is read again; where none has one, the text is found by a digest.
 2. Keys of two or more nodes are buckets; buckets of equal content are one. In each, a breadth-first search over signature
    distances links the nodes within the radius; it gives one row a node.
 3. Components of these links are clusters. Clusters are cut into tiles of `TILE` nodes; each pair of tiles is one cell, which
@@ -17,8 +18,8 @@ Hot groups: copies are pre-aggregated; a bucket or cluster of any size is cut in
 joins that bring results back to the copies are on keys that adaptive execution may split.
 
 Defined results: null texts and texts without words have an empty set, size 0, and are linked with nothing; with one or two
-words the whole sequence is the only shingle; repeated rows have equal sets and so one component; a row without an id is
-never the smallest of its component and is kept; an empty table gives an empty result; further columns are ignored.
+words the whole sequence is the only shingle; repeated rows have equal sets and so one component; a row without an id links
+others as any row, is never the smallest of its component and is kept; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -118,11 +119,11 @@ def chunk_keys(symbols: np.ndarray) -> np.ndarray:
     return _mixed(keys + _SALT).view(np.int64)
 
 
-_SIGNED = "doc_id long, n long, f1 long, f2 long, keys array<long>, sig binary"
+_SIGNED = "doc_id long, digest long, n long, f1 long, f2 long, keys array<long>, sig binary"
 
 
 def _sign(words: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def flush(ids: list, sets: list[np.ndarray]) -> pd.DataFrame:
+    def flush(ids: list, digests: list, sets: list[np.ndarray]) -> pd.DataFrame:
         sizes = np.array([len(s) for s in sets], dtype=np.int64)
         some = np.flatnonzero(sizes)
         f1, f2 = np.zeros(len(sets), dtype=np.uint64), np.zeros(len(sets), dtype=np.uint64)
@@ -135,21 +136,22 @@ def _sign(words: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFram
             symbols = signatures(flat, starts)
             for k, row, own in zip(some.tolist(), symbols, chunk_keys(symbols), strict=True):
                 keys[k], sig[k] = own, row.tobytes()
-        return pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "n": sizes, "f1": f1.view(np.int64), "f2": f2.view(np.int64), "keys": keys, "sig": sig})
+        return pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "digest": pd.array(digests, dtype="Int64"), "n": sizes, "f1": f1.view(np.int64), "f2": f2.view(np.int64), "keys": keys, "sig": sig})
 
     def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(words)
-        ids, sets, held = [], [], 0
+        ids, digests, sets, held = [], [], [], 0
         for frame in frames:
-            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
+            for doc_id, digest, text in zip(frame["doc_id"], frame["digest"], frame["text"], strict=True):
                 ids.append(None if pd.isna(doc_id) else int(doc_id))
+                digests.append(None if digest == "" else int(digest))
                 sets.append(shingle(text))
                 held += len(sets[-1])
                 if held > 1 << 18 or len(ids) >= 4096:
-                    yield flush(ids, sets)
-                    ids, sets, held = [], [], 0
+                    yield flush(ids, digests, sets)
+                    ids, digests, sets, held = [], [], [], 0
         if ids:
-            yield flush(ids, sets)
+            yield flush(ids, digests, sets)
 
     return sign
 
@@ -283,10 +285,12 @@ def _cells(frame: DataFrame, group: str, rows: str, tile: int) -> DataFrame:
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id, kept."""
     clean = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed = staged(clean.mapInPandas(_sign(words), _SIGNED).withColumn("row", F.monotonically_increasing_id()), "signed")
+    # As text, as pandas would read a column with nulls as floats.
+    digest = F.when(F.col("doc_id").isNull(), F.xxhash64("text").cast("string")).otherwise("")
+    signed = staged(clean.withColumn("digest", digest).mapInPandas(_sign(words), _SIGNED).withColumn("row", F.monotonically_increasing_id()), "signed")
     content = ["n", "f1", "f2"]
-    groups = staged(signed.where("n > 0").groupBy(*content).agg(F.min("row").alias("node"), F.min("doc_id").alias("rep_id")), "groups")
-    nodes = staged(signed.join(groups.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "doc_id", *content, "keys", "sig"), "nodes")
+    groups = staged(signed.where("n > 0").groupBy(*content).agg(F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), F.col("row"))), F.min("row")).alias("node"), F.min("doc_id").alias("rep_id")), "groups")
+    nodes = staged(signed.join(groups.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "doc_id", "digest", *content, "keys", "sig"), "nodes")
 
     keyed = nodes.select(F.explode("keys").alias("key"), "node")
     counted = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x2")).where("rows > 1")
@@ -296,10 +300,20 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", word
     clusters = staged(components(near, "a", "b"), "clusters")
 
     sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("rows"))
-    wanted = staged(clusters.join(sizes, "root").join(nodes.select("node", "doc_id", "n", "f1"), "node").select(F.col("root").alias("cluster"), "node", "rows", "doc_id", "n", "f1"), "wanted")
-    few = wanted.count() <= BROADCAST_NODES
-    picked = clean.join(F.broadcast(wanted) if few else wanted, "doc_id").select("cluster", "node", "rows", "n", "f1", "text")
-    sets = staged(picked.mapInPandas(_sets(words), "cluster long, node long, rows long, shingles binary"), "sets")
+    wanted = staged(clusters.join(sizes, "root").join(nodes.select("node", "doc_id", "digest", "n", "f1"), "node").select(F.col("root").alias("cluster"), "node", "rows", "doc_id", "digest", "n", "f1"), "wanted")
+    total, known = wanted.agg(F.count(F.lit(1)), F.count("doc_id")).first()
+
+    def read_again(rows: DataFrame, own: DataFrame, by: str) -> DataFrame:
+        picked = rows.join(F.broadcast(own) if total <= BROADCAST_NODES else own, by).select("cluster", "node", "rows", "n", "f1", "text")
+        return picked.mapInPandas(_sets(words), "cluster long, node long, rows long, shingles binary")
+
+    sets = read_again(clean, wanted.drop("digest"), "doc_id")
+    if known < total:
+        nameless = clean.where("doc_id is null").select(F.xxhash64("text").alias("digest"), "text")
+        # Copies of a text all have its digest; one is enough.
+        again = read_again(nameless, wanted.where("doc_id is null").drop("doc_id"), "digest")
+        sets = sets.unionByName(again.groupBy("cluster", "node", "rows").agg(F.first("shingles").alias("shingles")))
+    sets = staged(sets, "sets")
     confirmed = _cells(sets, "cluster", "rows", TILE).mapInPandas(_confirm(percent), "a long, b long")
     parts = staged(components(confirmed, "a", "b"), "parts")
 

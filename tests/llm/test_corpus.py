@@ -149,6 +149,25 @@ def test_near_dedup_of_small_cells(spark, monkeypatch):
     assert sorted(map(tuple, near_dedup.near_dedup(docs).collect())) == near_truth(rows)
 
 
+def test_near_dedup_of_rows_without_ids_that_link_others(spark):
+    """A row without an id may be the first of its copies, or the only link of two documents."""
+    own = [f"w{k}" for k in range(200)]
+    changed = lambda words, *at: " ".join("x" if k in at else w for k, w in enumerate(words))
+    first, near = " ".join(own), changed(own, 20)
+    other = [f"v{k}" for k in range(200)]
+    # The outer two differ from the middle one by 12 of 198 shingles each, and too much from each other.
+    left, middle, right = changed(other, 20, 40, 60, 80), " ".join(other), changed(other, 100, 120, 140, 160)
+    docs = spark.createDataFrame([(None, first), (5, first), (9, near), (None, middle), (None, middle), (21, left), (22, right)], "doc_id long, text string").coalesce(1)
+    got = near_dedup.near_dedup(docs).collect()
+    assert len(got) == 7
+    rows = {r.doc_id: (r.component_id, r.kept) for r in got if r.doc_id is not None}
+    assert rows == {5: (5, True), 9: (5, False), 21: (21, True), 22: (21, False)}
+    nameless = [(r.component_id, r.kept) for r in got if r.doc_id is None]
+    assert sorted(nameless) == [(5, True), (21, True), (21, True)]
+    alone = near_dedup.near_dedup(docs.where("doc_id is null or doc_id <> 5")).collect()
+    assert {r.doc_id: (r.component_id, r.kept) for r in alone if r.doc_id == 9} == {9: (9, True)}
+
+
 def test_near_dedup_of_repeated_and_null_rows(spark):
     text = "one two three four five six"
     rows = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_dedup(docs_of(spark, [(2, text, "s"), (2, text, "s"), (3, text, "s"), (None, text, "s")])).collect()}
