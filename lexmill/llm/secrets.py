@@ -31,7 +31,9 @@ HEX = r"[0-9a-f]{24,}"
 BASE = ("assign", "access", "hex")
 
 IDENTIFIER = r"""(?i:\b(user(?:name|_?id)?|login|account(?:_?id)?|client[_-]?id|tenant(?:_?id)?|key[_-]?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._+-]+)"""
-BARE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,80}[0-9])(?=[a-z0-9+/_-]{0,80}[A-Z])(?=[A-Z0-9+/_-]{0,80}[a-z])[A-Za-z0-9+/_-]{20,}"
+BARE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}"
+#: What a bare token has of each, wherever in it.
+MIXED = ("[0-9]", "[A-Z]", "[a-z]")
 ENDPOINT = r"""\b(?:https?|ftps?|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[^\s"'<>]+|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?(?![0-9.])"""
 WEAK = ("identifier", "bare", "endpoint")
 KINDS = (*BASE, *WEAK)
@@ -51,7 +53,7 @@ def parts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     clean = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
     t = F.col("text")
     base = F.concat(matches(t, ASSIGN, "assign", 2, 6), matches(t, ACCESS, "access"), matches(t, HEX, "hex"))
-    weak = F.concat(matches(t, IDENTIFIER, "identifier", 2, 3), matches(t, BARE, "bare"), matches(t, ENDPOINT, "endpoint"))
+    weak = F.concat(matches(t, IDENTIFIER, "identifier", 2, 3), matches(t, BARE, "bare", holds=MIXED), matches(t, ENDPOINT, "endpoint"))
     return clean.select("doc_id", F.monotonically_increasing_id().alias("row"), base.alias("base"), weak.alias("weak"))
 
 

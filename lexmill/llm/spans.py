@@ -8,21 +8,27 @@ from pyspark.sql import functions as F
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 
 
-def matches(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0, only_if: str | None = None) -> Column:
+def matches(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0, only_if: str | None = None, holds: tuple[str, ...] = ()) -> Column:
     """Spans (kind, start, end; code points, end exclusive) of the leftmost non-overlapping matches of `pattern`.
 
-    Matches whose `group` is shorter than `least` are left out, yet none begins inside them. The lengths of the pieces
+    Matches whose `group` is shorter than `least`, or that lack any of the patterns `holds`, are left out, yet none begins inside them. The lengths of the pieces
     between matches give the places. Texts that `only_if` (`pattern` by default) isn't found in cost one search.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     # The piece after the last match has no match beside it.
     zipped = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("p"), found.alias("m"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g"))
 
+    def counts(x: Column) -> Column:
+        good = F.length(x["g"]) >= least
+        for p in holds:
+            good = good & x["m"].rlike(p)
+        return good
+
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["p"])
         end = start + F.length(x["m"])
         own = F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.length(x["g"]) >= least, F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
+        return F.struct(end.alias("at"), F.when(counts(x), F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
 
     first = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
     return F.when(text.rlike(only_if or pattern), F.aggregate(zipped, first, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))

@@ -56,6 +56,13 @@ def test_weak_parts_are_reported_only_together(spark):
     assert out == {0: "a [SECRET] b", 1: "plain", 2: ""}
 
 
+def test_bare_tokens_that_are_mixed_far_from_their_beginning(spark):
+    tokens = ["a" * 80 + "9A", "a" * 81 + "9A", "A" * 300 + "b" * 300 + "7", "a" * 300 + "9", "A" * 300 + "9", "aA" * 150]
+    got = {r.doc_id: r.spans for r in secrets.report(secrets.scan(docs_of(spark, [f"client_id=ab12cd {t} x" for t in tokens]))).collect()}
+    for k, t in enumerate(tokens):
+        assert (f"bare:17:{17 + len(t)}" in got[k].split(",")) == (k < 3), t
+
+
 def test_secrets_of_an_empty_table(spark):
     assert secrets.report(secrets.scan(docs_of(spark, []))).count() == 0
 
