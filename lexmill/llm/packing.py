@@ -9,8 +9,9 @@ Workers pack their partitions each for itself, in one pass and without a shuffle
 end are laid end to end, cut anew at the capacity, and the last part is cut into powers of two, which need no padding. A
 sequence's id is its partition's number, times 2**40, plus its place there, so a task that runs again gives the same ids.
 
-Tokens: a Hugging Face tokenizer file, without special tokens, then id 1 after each document. The vocabulary's pre-tokens
-never span white space, so texts are split there and each distinct chunk is encoded once; the cache is bounded.
+Tokens: a Hugging Face tokenizer file, no special tokens added, then id 1 after each document. Texts are first cut at literal
+special tokens, which keep their own ids as in the library. The vocabulary's pre-tokens never span white space, so the rest
+is split there and each distinct chunk is encoded once; the cache is bounded.
 
 Defined results: a null or empty text is the single token 1; rows that repeat are packed each for itself; an empty table
 gives an empty result; a document of any length is cut into as many sequences as it fills; rows without an id keep null.
@@ -164,9 +165,12 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.merge = WordMerger(path)
-        self.limit, self.young, self.old = cache, {}, {}
+        added = {t.content: n for n, t in self.tokenizer.get_added_tokens_decoder().items()}
+        #: Keys that no chunk of a text has, as chunks hold no space.
+        self.special = {f" {c}": n.to_bytes(4, "little") for c, n in added.items()}
+        self.literal = re.compile(f"({'|'.join(map(re.escape, sorted(added, key=len, reverse=True)))})") if added else None
+        self.limit, self.young, self.old = cache, dict(self.special), {}
         self.words: dict[str, bytes] = {}
 
     def _learn(self, missing: list[str]) -> None:
@@ -196,12 +200,18 @@ class ChunkEncoder:
         if len(known) > self.limit:
             self.words = {}
 
+    def _cut(self, text: str) -> list[str]:
+        if not self.literal or "<|" not in text and not self.literal.search(text):
+            return _chunks(text)
+        # Every second part is a special token.
+        return [c for n, part in enumerate(self.literal.split(text)) for c in ([f" {part}"] if n % 2 else _chunks(part))]
+
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Texts are taken in groups, so that the words new to a group are merged together."""
         for first in range(0, len(texts), GROUP):
-            group = [_chunks(t) if t else [] for t in texts[first : first + GROUP]]
+            group = [self._cut(t) if t else [] for t in texts[first : first + GROUP]]
             if len(self.young) > self.limit:
-                self.old, self.young = self.young, {}
+                self.old, self.young = self.young, dict(self.special)
             young, old = self.young, self.old
             missing = set().union(*group).difference(young)
             if missing:
@@ -245,10 +255,13 @@ def cuts(rest: int, capacity: int = CAPACITY, slack: float = SLACK) -> list[tupl
 
 
 class HarmonicPacker:
-    """Bins of one worker. `put` and `close` give finished sequences: lists of (document, start, length)."""
+    """Bins of one worker. `put` and `close` give finished sequences: lists of (document, start, length).
+
+    hold: what a bin keeps of a document for a piece (document, start, length).
+    """
 
-    def __init__(self, capacity: int = CAPACITY, slack: float = SLACK):
-        self.capacity, self.slack = capacity, slack
+    def __init__(self, capacity: int = CAPACITY, slack: float = SLACK, hold: Callable[[Any, int, int], Any] = lambda doc, start, length: doc):
+        self.capacity, self.slack, self.hold = capacity, slack, hold
         self.bins: dict[int, list[tuple[Any, int, int]]] = {}
 
     def put(self, doc: Any, tokens: int) -> Iterator[list[tuple[Any, int, int]]]:
@@ -258,7 +271,7 @@ class HarmonicPacker:
             start += self.capacity
         for length, k in cuts(tokens - start, self.capacity, self.slack):
             held = self.bins.setdefault(k, [])
-            held.append((doc, start, length))
+            held.append((self.hold(doc, start, length), start, length))
             start += length
             if len(held) == k:
                 yield self.bins.pop(k)
@@ -298,6 +311,11 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def _pack(vocabulary: Callable[[], str], capacity: int, slack: float, with_ids: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     end = END.to_bytes(4, "little")
 
+    def part(doc: tuple[int | None, bytes, int], start: int, length: int) -> tuple[int | None, bytes, int]:
+        """Only the piece's own ids, so that a bin doesn't keep whole documents alive."""
+        doc_id, ids, tokens = doc
+        return (doc_id, _Part(ids[4 * start : 4 * (start + length)], start), tokens) if length < tokens else doc
+
     def rows(done: list[list], first: int) -> pd.DataFrame:
         out = []
         for n, sequence in enumerate(done, first):
@@ -312,7 +330,7 @@ def _pack(vocabulary: Callable[[], str], capacity: int, slack: float, with_ids:
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = ChunkEncoder(vocabulary())
-        packer = HarmonicPacker(capacity, slack)
+        packer = HarmonicPacker(capacity, slack, part)
         first = TaskContext.get().partitionId() << 40
         for frame in frames:
             done = []
@@ -321,13 +339,7 @@ def _pack(vocabulary: Callable[[], str], capacity: int, slack: float, with_ids:
                 ids += end
                 doc_id = None if pd.isna(doc_id) else int(doc_id)
                 tokens = len(ids) // 4
-                for sequence in packer.put((doc_id, ids, tokens), tokens):
-                    done.append(sequence)
-                # A bin keeps the whole document's ids alive unless it gets its own copy of the part.
-                for k, held_pieces in packer.bins.items():
-                    (d, whole, n), start, length = held_pieces[-1]
-                    if whole is ids and len(ids) > 8 * capacity:
-                        held_pieces[-1] = (d, _Part(whole[4 * start : 4 * (start + length)], start), n), start, length
+                done += packer.put((doc_id, ids, tokens), tokens)
                 held += tokens
                 if held > HELD:
                     yield rows(done, first)
@@ -366,8 +378,8 @@ def public_vocabulary(name: str = VOCABULARY) -> Callable[[], str]:
 def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabulary: Callable[[], str] | None = None, capacity: int = CAPACITY, slack: float = SLACK, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with_ids its token ids.
 
-    capacity must be a power of two. Memory: the cache, a batch of documents, and the open bins, less than
-    capacity / 2 pieces.
+    capacity must be a power of two. Memory: the cache, a batch of documents, finished sequences of `HELD` tokens, and the
+    open bins: a hundred classes or so, each with less than a sequence's ids, in up to capacity pieces of a class.
     """
     schema = PIECES + (", ids array<int>" if with_ids else "")
     kept = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

@@ -292,7 +292,6 @@ def library_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.public_vocabulary()())
-    t.encode_special_tokens = True
     return {i: [*t.encode(x or "", add_special_tokens=False).ids, 1] for i, x in texts.items()}
 
 
@@ -302,7 +301,7 @@ def test_packing_of_documents(spark, sf_dir):
     assert pieces_hold(packing.pack(docs).collect(), library_ids(texts)) < 0.05
 
 
-ODD = ["a.,b. c,\nd_, e.. f. 'g, don't, x'll. ", "É, é. ß.\nÀ×, ÷. ", "x\x1cy, z. 12, 34.5, 6.", "¼, ², ª. µ, º, Ω. Ωσς, 漢字. ", "AB\xa0C,\xa0d. \x85 e,", None, "", " ", ".", ",, . .. ", "á ́, ñ.", "<|startoftext|> <|endoftext|>", "w" * 3000, "İstanbul ǅ", "one two " * 20000]
+ODD = ["a.,b. c,\nd_, e.. f. 'g, don't, x'll. ", "É, é. ß.\nÀ×, ÷. ", "x\x1cy, z. 12, 34.5, 6.", "¼, ², ª. µ, º, Ω. Ωσς, 漢字. ", "AB\xa0C,\xa0d. \x85 e,", None, "", " ", ".", ",, . .. ", "á ́, ñ.", "<|startoftext|> <|endoftext|>", "hello<|endoftext|>world", "<|endoftext|>s don't'<|startoftext|>s <|", "A<|ENDOFTEXT|>b <|endoftext|<|endoftext|>\u00e9<|endoftext|>", "w" * 3000, "İstanbul ǅ", "one two " * 20000]
 
 
 def test_packing_of_odd_texts(spark):
@@ -316,6 +315,17 @@ def test_packing_of_odd_texts(spark):
     assert sorted((r.doc_id or 0, r.doc_tokens) for r in twice) == [(0, 2), (1, 2), (1, 2)]
 
 
+def test_encoder_equals_the_library_on_random_texts():
+    from tokenizers import Tokenizer
+
+    path = packing.public_vocabulary()()
+    library, encoder, r = Tokenizer.from_file(path), packing.ChunkEncoder(path, 50), random.Random(3)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|", "|>", "a", "Ab", " ", "\n", "'s", "12", ",", ". ", "\u00e9", "\u0301", "\u6f22", "\xa0", "\x1c", "endoftext", "<|endoftext"]
+    texts = ["".join(r.choices(bits, k=r.randint(1, 12))) for _ in range(6000)]
+    for t, got in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(got, dtype="<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
 def test_bins_hold_a_fixed_number_of_their_class():
     r = random.Random(9)
     packer = packing.HarmonicPacker()
