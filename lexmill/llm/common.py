@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.staging import release, shared_dir, staged
+from lexmill.staging import dropped, release, shared_dir, staged
 
 #: The white space of all contracts, as a character class of Java and RE2.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-__all__ = ["SPACE", "WORD", "boxed", "doc_fold", "release", "shared_dir", "staged", "table", "text_or_empty"]
+#: Ids that may be broadcast to take rows away (some 16 bytes each); beyond it, the rows are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+__all__ = ["BROADCAST_IDS", "SPACE", "WORD", "boxed", "doc_fold", "dropped", "few", "release", "shared_dir", "staged", "table", "text_or_empty", "without_ids"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,3 +33,19 @@ def text_or_empty(text: Column | str = "text") -> Column:
 def doc_fold(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo `mod`: the fold that contracts hold out by."""
     return (F.crc32(doc_id.cast("string").cast("binary")) % mod).cast("int")
+
+
+def few(rows: DataFrame, most: int | None = None) -> bool:
+    """Whether there are at most `most` rows (`BROADCAST_IDS` by default)."""
+    most = BROADCAST_IDS if most is None else most
+    return rows.limit(most + 1).count() <= most
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose doc_id isn't in the single column of `ids`.
+
+    Ids are counted first: few are broadcast, so that texts stay where they are; otherwise both sides are shuffled.
+    """
+    gone = staged(ids.toDF("gone").where("gone is not null").distinct(), "gone")
+    small = few(gone)
+    return boxed(docs).join(F.broadcast(gone) if small else gone, F.col("doc.doc_id").cast("long") == F.col("gone"), "left_anti").select("doc.*")

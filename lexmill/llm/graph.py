@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import staged
+from lexmill.llm.common import dropped, staged
 
 
 def _mark(edges: DataFrame) -> tuple[int, int | None]:
@@ -24,11 +24,13 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     mark = _mark(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # Staged, so that adaptive execution may split the other side of the join at a node of many edges.
+        first = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = both.where("v > u").join(first, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = staged(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, now = now, staged(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        dropped(last, first)
         before, mark = mark, _mark(now)
         if mark == before:
             break

@@ -142,7 +142,7 @@ def test_near_dedup_against_brute_force(spark):
 def test_near_dedup_of_small_cells(spark, monkeypatch):
     """Groups that are cut into many cells have the same components."""
     monkeypatch.setattr(near_dedup, "TILE", 4)
-    monkeypatch.setattr(near_dedup, "BUCKET_TILE", 4)
+    monkeypatch.setattr(near_dedup, "BUCKET_TILE", 3)
     monkeypatch.setattr(near_dedup, "BROADCAST_NODES", 1)
     rows = near_rows(120, 7)
     docs = docs_of(spark, [(i, t, "s") for i, t in rows])
@@ -176,15 +176,62 @@ def test_near_dedup_of_repeated_and_null_rows(spark):
 
 
 def test_pairs_within_the_radius_share_a_key():
-    """By pigeonhole: signatures that differ in up to RADIUS symbols always meet in some key."""
+    """By pigeonhole: signatures that differ in up to 2 * chunks - 1 symbols always meet in some key."""
     r = np.random.default_rng(5)
-    for _ in range(300):
-        a = r.integers(0, 1 << 16, near_dedup.SYMBOLS, dtype=np.uint16)
-        b = a.copy()
-        at = r.permutation(near_dedup.SYMBOLS)[: near_dedup.RADIUS]
-        b[at] ^= 1
-        keys = near_dedup.chunk_keys(np.stack([a, b]))
-        assert set(keys[0]) & set(keys[1])
+    assert [near_dedup.chunks_for(p) for p in (95, 85, 80, 70)] == [7, 12, 15, 19]
+    for percent in (95, 85, 80, 70):
+        chunks = near_dedup.chunks_for(percent)
+        for _ in range(200):
+            a = r.integers(0, 1 << 16, near_dedup.SYMBOLS, dtype=np.uint16)
+            b = a.copy()
+            b[r.permutation(near_dedup.SYMBOLS)[: 2 * chunks - 1]] ^= 1
+            keys = near_dedup.chunk_keys(np.stack([a, b]), chunks)
+            assert set(keys[0]) & set(keys[1])
+    with pytest.raises(ValueError, match="too low"):
+        near_dedup.chunks_for(50)
+
+
+@pytest.mark.parametrize("percent", [70, 80, 85, 95])
+def test_pairs_at_the_threshold_are_found(spark, percent):
+    """Recall of pairs just at the similarity, for each kind of radius; unlike pairs stay apart."""
+    r, rows = random.Random(percent), []
+    for k in range(150):
+        words = [f"{k}x{n}" for n in range(400)]
+        for side in (percent / 100 + 0.004, percent / 100 - 0.02):
+            # Two sets of n shingles that share c: c / (2 n - c); words cut off at the end leave the others alone.
+            n = round(len(words) * (1 - side))
+            rows.append((" ".join(words), " ".join(words[:-n]), side))
+        r.shuffle(words)
+    pairs = [(4 * k + s, t) for k, (a, b, _) in enumerate(rows) for s, t in ((1, f"p{k} q{k} " + a), (2, f"p{k} q{k} " + b))]
+    docs = spark.createDataFrame([(i, re.sub(r"(\d+)x", rf"{i // 4}y\1x", t)) for i, t in pairs], "doc_id long, text string")
+    want = near_truth([(r_.doc_id, r_.text) for r_ in docs.collect()], 3, percent)
+    got = sorted(map(tuple, near_dedup.near_dedup(docs, percent=percent).collect()))
+    assert got == want and 100 < sum(not x[3] for x in want) < 200
+
+
+def test_tree_edges_join_what_the_graph_joins():
+    r = np.random.default_rng(8)
+    for n in (0, 1, 2, 30, 60):
+        graph_of = np.triu(r.random((n, n)) < 1.2 / max(1, n), 1)
+        graph_of |= graph_of.T
+        labels = r.integers(0, max(1, n // 2), n)
+        for own in (None, labels):
+            parent = list(range(n))
+
+            def root(k, parent=parent):
+                while parent[k] != k:
+                    k = parent[k]
+                return k
+
+            got = near_dedup.tree_edges(n, lambda at, others: others[graph_of[at, others]], own)
+            known = [] if own is None else [(a, b) for a in range(n) for b in range(a) if own[a] == own[b]]
+            parts = []
+            for edges in (got, list(zip(*np.nonzero(graph_of), strict=True))):
+                parent[:] = range(n)
+                for a, b in [*known, *edges]:
+                    parent[root(a)] = root(b)
+                parts.append({frozenset(k for k in range(n) if root(k) == root(x)) for x in range(n)})
+            assert parts[0] == parts[1] and all(graph_of[a, b] for a, b in got)
 
 
 def test_components(spark):
