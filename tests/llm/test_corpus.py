@@ -423,28 +423,55 @@ def nearest_truth(rows, is_query, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("shard_rows, block_rows", [(30, 7), (4096, 2048)])
-def test_top_k_against_brute_force(spark, monkeypatch, shard_rows, block_rows):
+@pytest.mark.parametrize("shard_rows, pack", [(30, 3), (4096, 512)])
+def test_top_k_against_brute_force(spark, monkeypatch, shard_rows, pack):
     monkeypatch.setattr(topk, "LEAF", 8)
+    monkeypatch.setattr(topk, "PACK", pack)
+    monkeypatch.setattr(topk, "LANE", 2)
     r = random.Random(10)
-    rows = [(i, [r.choice([-1.0, 0.25, 0.5, r.gauss(0, 1)]) for _ in range(6)]) for i in range(400)]
+    rows = [(i, [r.choice([-1.0, 0.25, 0.5, r.gauss(0, 1)]) for _ in range(6)]) for i in range(300)]
+    rows += [(i, [c + r.gauss(0, 0.1) for c in r.choice([(9, 0, 0, 0, 0, 0), (0, 0, -9, 0, 9, 0)])]) for i in range(300, 400)]
+    rows += [(400 + k, [0.5] * 6) for k in range(90)]  # one vector of many rows
     rows[3] = rows[43] = (43, rows[4][1])
     rows += [(1000, None), (1020, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1040, [math.nan] * 6), (1060, [math.inf] + [0.0] * 5), (None, [1.0] * 6), (1080, []), (1100, [0.5] * 9)]
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, row long, shard long")
     rows = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
-    got = topk.top_k(df, F.col("vec_id") % 20 == 0, 5, shard_rows=shard_rows, block_rows=block_rows)
+    got = topk.top_k(df, F.col("vec_id") % 20 == 0, 5, shard_rows=shard_rows)
     assert sorted(map(tuple, got.collect())) == nearest_truth(rows, lambda q: q % 20 == 0, 5)
-    few = topk.top_k(df.where("vec_id in (0, 1, 2)"), F.col("vec_id") % 20 == 0, 5)
-    assert few.count() == 2 and topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    if shard_rows == 30:
+        few = topk.top_k(df.where("vec_id in (0, 1, 2)"), F.col("vec_id") % 20 == 0, 5)
+        assert few.count() == 2 and topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_top_k_of_huge_components(spark):
+    """Scores beyond 2**53 are exact; those beyond 64 bits count as the outermost number of them."""
+    r = random.Random(2)
+    rows = [(i, [r.choice([1e8, -1e8, 3.0e7 + i, 1e300, -1e300, 2.0**40, 0.5]) if k else 1.0 for k in range(3)]) for i in range(60)]
+    rows += [(60, [3.1e7 + 1 / 64, 3e7, 0.0]), (61, [3.1e7, 3e7, 1 / 64]), (62, [1.7e308, 0.0, 0.0]), (80, [2.0**26, 2.0**26 + 1, 1.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 7, shard_rows=16)
+    most, out = 2**63 - 1, []
+    live = [(i, [int(math.floor(64 * x)) for x in v]) for i, v in rows if i != 62]
+    for q, a in live:
+        if q % 20 == 0:
+            scored = sorted((-max(-most, min(most, sum(x * y for x, y in zip(a, b, strict=True)))), i) for i, b in live if i != q)[:7]
+            out += [(q, n, i, -s) for n, (s, i) in enumerate(scored, 1)]
+    assert sorted(map(tuple, got.collect())) == sorted(out)
 
 
-def test_bounds_prune():
-    """Far clusters aren't opened once the best are known."""
+def test_bounds_prune(spark, sf_dir):
+    """Leaves of far clusters aren't opened once the best are known; the driver's own vectors are too spread for it."""
     r = np.random.default_rng(1)
-    points = np.concatenate([r.normal(c, 1, (500, 8)) for c in (-100, 0, 100)])
+    points = np.floor(64 * np.concatenate([r.normal(c, 1, (500, 8)) for c in (-100, 0, 100)]))
     tree = topk.BallTree(np.arange(1500), points, 32)
-    _, ids, _, opened = tree.search(np.array([-1]), np.full((1, 8), 5.0), 10, np.array([-np.inf]))
-    assert set(ids[0]) == set(np.argsort(-(points @ np.full(8, 5.0)))[:10]) and opened < 25
+    best, kth, opened = tree.search(np.array([-1]), np.full((1, 8), 5.0), 10, np.array([-topk.MOST]))
+    want = sorted((-s, i) for i, s in enumerate((points @ np.full(8, 5.0)).astype(int).tolist()))[:10]
+    assert best[0] == want and kth[0] == -want[-1][0] and opened < len(tree.nodes) / 4
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", topk.quantised(F.col("embedding")).alias("v")).where("v is not null").collect()
+    vectors = np.array([r.v for r in rows])
+    tree = topk.BallTree(np.arange(len(vectors)), vectors, 32)
+    _, kth, opened = tree.search(np.array([0]), vectors[:1], 20, np.array([-topk.MOST]))
+    leaves = sum(n[2] < 0 for n in tree.nodes)
+    assert 0 < opened <= leaves
 
 
 # Chats
