@@ -13,8 +13,10 @@ shuffle, so first turns that a third of all conversations share cost one row a t
 
 Defined results: rows that repeat wholly count once; rows of one turn number are ordered by role, then text, nulls first; a
 null turn comes first; null ids are one conversation, with id null; a null role renders as "user", a null text as empty, yet
-both differ from these when compared; roles are compared and rendered trimmed and lower-cased; the markers are taken out of
-texts; an empty table gives an empty result; further columns are ignored.
+both differ from these when compared; roles are compared and rendered trimmed and lower-cased. No turn can end itself or
+begin another: markers within texts are rendered with spaces inside ("<| im_end |>"), which no neighbouring characters can
+make a marker again, and in roles each run of other characters than letters, digits and "_.-" is rendered as "_". An empty
+table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -77,8 +79,9 @@ def maximal(turns: DataFrame) -> DataFrame:
 
 def render(turns: DataFrame) -> DataFrame:
     """key, chunk, rendered: the turns of each block between markers, in order."""
-    clean = F.regexp_replace(F.coalesce("text", F.lit("")), r"<\|im_(?:start|end)\|>", "")
-    line = F.concat(F.lit(OPEN), F.coalesce("role", F.lit("user")), F.lit("\n"), clean, F.lit(CLOSE), F.lit("\n"))
+    clean = F.regexp_replace(F.coalesce("text", F.lit("")), r"<\|(im_(?:start|end))\|>", r"<| $1 |>")
+    role = F.regexp_replace(F.coalesce("role", F.lit("user")), r"[^\p{L}\p{N}_.-]+", "_")
+    line = F.concat(F.lit(OPEN), role, F.lit("\n"), clean, F.lit(CLOSE), F.lit("\n"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"])
     return turns.groupBy("key", "conv_id", "block").agg(F.min("place").alias("first_place"), F.array_join(lines, "").alias("rendered"))
 
@@ -96,7 +99,8 @@ SQL = r"""
 with t as (select distinct conv_id, turn, lower(trim(role)) as role, text from conversations),
 o as (select *, row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as place from t),
 c as (select conv_id, count(*) as n_turns, string_agg(md5(coalesce(length(role) || ':' || role, '-') || '|' || coalesce(length(text) || ':' || text, '-')), ',' order by place) || ',' as path,
-  string_agg('<|im_start|>' || coalesce(role, 'user') || chr(10) || regexp_replace(coalesce(text, ''), '<\|im_(?:start|end)\|>', '', 'g') || '<|im_end|>' || chr(10), '' order by place) as rendered
+  string_agg(array_to_string(['<|im_start|>', array_to_string(regexp_split_to_array('_' || coalesce(role, 'user') || '_', '[^\p{L}\p{N}_.-]+'), '_')[2:-2], chr(10),
+    replace(replace(coalesce(text, ''), '<|im_start|>', '<| im_start |>'), '<|im_end|>', '<| im_end |>'), '<|im_end|>', chr(10)], ''), '' order by place) as rendered
   from o group by conv_id),
 w as (select path, n_turns, min(conv_id) as conv_id, count(*) as copies from c group by path, n_turns),
 p as (select distinct substr(path, 1, k * 33) as path from c, unnest(generate_series(1, n_turns - 1)) as u(k))

@@ -1,13 +1,21 @@
 """Personal data replaced by format-preserving Feistel pseudonyms.
 
-Values are found by pattern and validated: card numbers by their Luhn digit, IPv4 octets by range, dates by the calendar.
-Each is mapped by a keyed permutation of its own format, so a pseudonym is again a valid value, different values stay
-different, and equal values have one pseudonym in all documents, however they are spaced.
-
-* Characters (e-mail local parts, phone numbers, social security numbers, card digits): a Feistel network over the two
-  halves of the letters and digits; in each of `ROUNDS` rounds one half's characters move within their class (a-z, A-Z, 0-9)
-  by a keyed hash of the other half. Signs and case stay. A card's last digit is its new Luhn digit.
-* Numbers (dates as days of one 400-year cycle, 189 x 773; IPv4 addresses, 65536 x 65536): the same over two residues.
+Values are found by pattern and validated: card numbers by their Luhn digit, IPv4 octets by range, dates by the calendar,
+social security numbers by the ranges that are given out. Each is mapped by a keyed permutation of its own format, so a pseudonym
+is again a valid value of that format, different values of a format stay different, and equal values have one pseudonym in all
+documents, however they are spaced.
+
+* Characters (e-mail local parts, digits of cards and of phone numbers abroad): a Feistel network over the two halves of the letters
+  and digits; in each of `ROUNDS` rounds one half's characters move within their class (a-z, A-Z, 0-9) by a keyed hash of the
+  other half. Signs and case stay. A card keeps its issuer (six digits), and its last digit is its new Luhn digit. A phone
+  number keeps its country code and the next digit.
+* Numbers: the same over two residues. Ten-digit phone numbers of the North American plan stay in it (800 area codes x
+  8,000,000), social security numbers in theirs (898 areas x 99 groups, 9,999 serials). An IPv4 address stays in its block (private,
+  loopback, link-local, multicast and above) or among all others.
+* Dates are days of one 400-year cycle (189 x 773). Those of a written form (which part is the day; how many digits each has)
+  are a subset of these, and the permutation is repeated until it meets the subset again, which keeps it one to one. Month-first
+  dates are those whose second part is over 12; their pseudonyms' is, too. After `WALK` turns in vain (of a chance below
+  1e-20) a value keeps the last one.
 
 Values may stand beside other digits ("2 4111-1111-1111-1111", lists of phone numbers): card numbers of the usual groupings are
 looked for at each group of digits, and only those with a right Luhn digit take part in the search with the other kinds, so a
@@ -19,20 +27,23 @@ Everything is DataFrame functions: the text is split at the values, values are m
 joined again; no shuffle.
 
 Defined results: a null text stays null and counts 0; an empty text stays empty; values that fail validation stay; repeated
-rows are treated each for itself; an empty table gives an empty result; month-first dates are mapped where the day-first
-reading isn't valid, one to one among themselves.
+rows are treated each for itself; an empty table gives an empty result; a date that may be read both ways is day-first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import text_or_empty
+from lexmill.llm.spans import let
 
 ROUNDS = 8
-#: The default is for tests; give a secret one of your own.
-KEY = "lexmill"
+WALK = 240
+#: The digits of a card number that name its issuer.
+ISSUER = 6
 EMAIL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,63})@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
 IPV4 = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])"
 ISO_DATE = r"(?<![0-9-])(?:1[89]|2[01])[0-9]{2}-[01][0-9]-[0-3][0-9](?![0-9-])"
@@ -62,6 +73,10 @@ ISSUED = "^(?:[3-6]|2[2-7])"
 #: Texts without any of these hold no value.
 SOME = r"@|[0-9][0-9 ().+/-]{5}"
 CYCLE = (189, 773)
+# Special blocks of IPv4 addresses, as first address and bits that vary in it.
+BLOCKS = (("0.0.0.0", 24), ("10.0.0.0", 24), ("127.0.0.0", 24), ("169.254.0.0", 16), ("172.16.0.0", 20), ("192.168.0.0", 16), ("224.0.0.0", 29))
+# Country codes of one and of two digits; all others have three.
+COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3})"
 
 
 def _number(*parts: Column) -> Column:
@@ -69,11 +84,12 @@ def _number(*parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 12), 16, 10).cast("long")
 
 
-def permuted(left: Column, right: Column, a: int, b: int, key: str, name: str) -> Column:
+def permuted(left: Column, right: Column, a: int | Column, b: int | Column, key: str, name: str | Column) -> Column:
     """struct(l, r): a permutation of the pairs of residues (mod a, mod b)."""
+    own = F.concat(F.lit(f"{key}|"), F.lit(name) if isinstance(name, str) else name)
 
     def turn(acc: Column, i: Column) -> Column:
-        salt = lambda half: _number(F.lit(f"{key}|{name}"), i.cast("string"), half.cast("string"))
+        salt = lambda half: _number(own, i.cast("string"), half.cast("string"))
         return F.when(i % 2 == 0, F.struct(((acc["l"] + salt(acc["r"])) % a).alias("l"), acc["r"].alias("r"))).otherwise(
             F.struct(acc["l"].alias("l"), ((acc["r"] + salt(acc["l"])) % b).alias("r"))
         )
@@ -127,7 +143,7 @@ def luhn_sum(digits: Column, own_check: bool) -> Column:
 
 def _card(m: Column, key: str) -> Column:
     digits = F.regexp_replace(m, "[^0-9]", "")
-    body = permuted_chars(F.substring(digits, F.lit(1), F.length(digits) - 1), f"{key}|card")
+    body = F.concat(F.substring(digits, F.lit(1), F.lit(ISSUER)), permuted_chars(F.substring(digits, F.lit(ISSUER + 1), F.length(digits) - ISSUER - 1), f"{key}|card"))
     check = ((10 - luhn_sum(body, False) % 10) % 10).cast("string")
     return F.when(luhn_sum(digits, True) % 10 == 0, _refilled(m, F.concat(body, check))).otherwise(m)
 
@@ -162,11 +178,24 @@ def patterned(clean: DataFrame, some: Column) -> DataFrame:
     return other.withColumn("pattern", F.when(F.size("other") > 0, F.concat("first", F.lit("|"), _either(F.col("other")))).otherwise(F.col("first")))
 
 
-def _date(m: Column, day: Column, form: Column | str, key: str, name: str) -> Column:
-    days = F.datediff(day, F.lit("1800-01-01").cast("date"))
-    moved = permuted(days % CYCLE[0], F.floor(days / CYCLE[0]), *CYCLE, key, name)
-    to = F.date_add(F.lit("1800-01-01").cast("date"), (moved["r"] * CYCLE[0] + moved["l"]).cast("int"))
-    return F.when(day.isNull(), m).otherwise(F.date_format(to, form) if isinstance(form, str) else form)
+def walked(start: Column, turn: Callable[[Column], Column], accepted: Callable[[Column], Column]) -> Column:
+    """turn(turn(...(start))), at least once, until it is accepted: a permutation of the accepted values if `turn` is one of all."""
+
+    def step(acc: Column, _: Column) -> Column:
+        moved = let(turn(acc["at"]), lambda x: F.struct(x.alias("at"), accepted(x).alias("done")))
+        return F.when(acc["done"], acc).otherwise(moved)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.struct(start.alias("at"), F.lit(False).alias("done")), step, lambda acc: acc["at"])
+
+
+_FIRST_DAY = "1800-01-01"
+
+
+def _moved_day(day: Column, accepted: Callable[[Column], Column], key: str, name: str | Column) -> Column:
+    """Another day of the cycle, which `accepted` holds for as it does for `day`."""
+    date_of = lambda n: F.date_add(F.lit(_FIRST_DAY).cast("date"), n.cast("int"))
+    turn = lambda n: let(permuted(n % CYCLE[0], F.floor(n / CYCLE[0]), *CYCLE, key, name), lambda x: x["r"] * CYCLE[0] + x["l"])
+    return date_of(walked(F.datediff(day, F.lit(_FIRST_DAY).cast("date")).cast("long"), turn, lambda n: accepted(date_of(n))))
 
 
 def _valid_date(year: Column, month: Column, day: Column) -> Column:
@@ -174,40 +203,100 @@ def _valid_date(year: Column, month: Column, day: Column) -> Column:
     return F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd")
 
 
-def _day_first(m: Column, key: str) -> Column:
+def _iso_date(m: Column, key: str) -> Column:
+    day = _valid_date(F.substring(m, 1, 4), F.substring(m, 6, 2), F.substring(m, 9, 2))
+    return F.when(day.isNull(), m).otherwise(F.date_format(_moved_day(day, lambda d: F.lit(True), key, "iso"), "yyyy-MM-dd"))
+
+
+def _written_date(m: Column, key: str) -> Column:
+    """Dates of three parts; the day comes first where that is a valid reading."""
     a, b, year = (F.element_at(F.split(m, "[./]"), k) for k in (1, 2, 3))
-    slash = m.contains("/")
+    sign = F.when(m.contains("/"), F.lit("/")).otherwise(F.lit("."))
     day, month_first = _valid_date(year, b, a), _valid_date(year, a, b)
-    shown = lambda when, slashed, dotted: F.when(slash, _date(m, when, slashed, key, slashed)).otherwise(_date(m, when, dotted, key, dotted))
-    return F.when(day.isNotNull(), shown(day, "dd/MM/yyyy", "dd.MM.yyyy")).otherwise(shown(month_first, "MM/dd/yyyy", "MM.dd.yyyy"))
+    fits = lambda part, n: (F.length(part) == 2) | (n <= 9)
+    part = lambda own, n: F.lpad(n.cast("string"), F.length(own), "0")
+    name = lambda order: F.concat(F.lit(order), sign, F.length(a).cast("string"), F.length(b).cast("string"))
+    shown = lambda d, x, y: F.concat(part(a, x(d)), sign, part(b, y(d)), sign, F.year(d).cast("string"))
+    by_day = _moved_day(day, lambda d: fits(a, F.dayofmonth(d)) & fits(b, F.month(d)), key, name("day"))
+    by_month = _moved_day(month_first, lambda d: fits(a, F.month(d)) & (F.dayofmonth(d) > 12), key, name("month"))
+    moved = F.when(day.isNotNull(), let(by_day, lambda d: shown(d, F.dayofmonth, F.month))).otherwise(let(by_month, lambda d: shown(d, F.month, F.dayofmonth)))
+    return F.when(day.isNull() & month_first.isNull(), m).otherwise(moved)
 
 
 def _ip(m: Column, key: str) -> Column:
-    o = [F.element_at(F.split(m, r"\."), k).cast("long") for k in (1, 2, 3, 4)]
-    to = permuted(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ip")
-    out = lambda half: F.concat_ws(".", F.floor(half / 256).cast("string"), (half % 256).cast("string"))
-    return F.concat_ws(".", out(to["l"]), out(to["r"]))
+    octet = lambda text, k: F.element_at(F.split(text, r"\."), k).cast("long")
+    number = ((octet(m, 1) * 256 + octet(m, 2)) * 256 + octet(m, 3)) * 256 + octet(m, 4)
+    first_of = lambda ip: sum(int(x) << s for x, s in zip(ip.split("."), (24, 16, 8, 0), strict=True))
+    blocks = [(first_of(ip), bits) for ip, bits in BLOCKS]
+    inside = lambda n, first, bits: (n >= first) & (n < first + (1 << bits))
+
+    def special(n: Column) -> Column:
+        out = F.lit(False)
+        for start, bits in blocks:
+            out = out | inside(n, start, bits)
+        return out
+
+    def space(n: Column) -> Column:
+        """Where n moves: its block, or all numbers."""
+        first, a, b = F.lit(0), F.lit(1 << 16), F.lit(1 << 16)
+        for start, bits in blocks:
+            here = inside(n, start, bits)
+            first, a, b = F.when(here, start).otherwise(first), F.when(here, 1 << bits // 2).otherwise(a), F.when(here, 1 << bits - bits // 2).otherwise(b)
+        return F.struct(n.alias("n"), special(n).alias("special"), first.cast("long").alias("first"), a.cast("long").alias("a"), b.cast("long").alias("b"))
+
+    def moved(s: Column) -> Column:
+        name = F.concat(F.lit("ip|"), s["first"].cast("string"))
+        turn = lambda n: let(permuted(F.floor((n - s["first"]) / s["b"]), (n - s["first"]) % s["b"], s["a"], s["b"], key, name), lambda x: s["first"] + x["l"] * s["b"] + x["r"])
+        # Any number of a block is of the block; other numbers move until they are of none.
+        return walked(s["n"], turn, lambda n: s["special"] | ~special(n))
+
+    shown = lambda n: F.concat_ws(".", *[(F.floor(n / (1 << s)) % 256).cast("string") for s in (24, 16, 8, 0)])
+    return let(let(let(number, space), moved), shown)
+
+
+def _ssn(m: Column, key: str) -> Column:
+    """Areas 001 to 899 without 666, groups from 01, serials from 0001; other numbers aren't given out, and stay."""
+    area, group, serial = (F.substring(m, at, n).cast("long") for at, n in ((1, 3), (5, 2), (8, 4)))
+    valid = (area > 0) & (area < 900) & (area != 666) & (group > 0) & (serial > 0)
+    nth = area - 1 - (area > 666).cast("long")
+    moved = permuted(nth * 99 + group - 1, serial - 1, 898 * 99, 9999, key, "ssn")
+
+    def shown(x: Column) -> Column:
+        nth = F.floor(x["l"] / 99) + 1
+        return F.format_string("%03d-%02d-%04d", nth + (nth >= 666).cast("long"), x["l"] % 99 + 1, x["r"] + 1)
+
+    return F.when(valid, let(moved, shown)).otherwise(m)
+
+
+def _phone(m: Column, key: str) -> Column:
+    digits = F.regexp_replace(m, "[^0-9]", "")
+    code = F.regexp_replace(F.regexp_extract(m, COUNTRY, 0), "[^0-9]", "")
+    own = F.substring(digits, F.length(code) + 1, F.length(digits))
+    american = code.isin("", "1") & own.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$")
+    area, rest = F.substring(own, 1, 3).cast("long") - 200, F.substring(own, 4, 7).cast("long") - 2_000_000
+    plan = let(permuted(area, rest, 800, 8_000_000, key, "phone"), lambda x: F.concat((x["l"] + 200).cast("string"), (x["r"] + 2_000_000).cast("string")))
+    abroad = F.concat(F.substring(own, 1, 1), permuted_chars(F.substring(own, F.lit(2), F.length(own)), f"{key}|phone"))
+    return _refilled(m, F.concat(code, F.when(american, plan).otherwise(abroad)))
 
 
-def pseudonym(m: Column, key: str = KEY) -> Column:
-    """The pseudonym of one value that `ANY` matched, or the value itself when it isn't valid."""
+def pseudonym(m: Column, key: str) -> Column:
+    """The pseudonym of one value that `ANY` matched, or the value itself when it isn't valid. key: a secret of your own."""
     whole = lambda kind: m.rlike(f"^(?:{KINDS[kind]})$")
     local = F.substring_index(m, "@", 1)
     alnum = F.regexp_replace(local, "[^A-Za-z0-9]", "")
-    digits = F.regexp_replace(m, "[^0-9]", "")
-    iso = _valid_date(F.substring(m, 1, 4), F.substring(m, 6, 2), F.substring(m, 9, 2))
     return (
         F.when(m.contains("@"), F.concat(_refilled(local, permuted_chars(alnum, f"{key}|email")), F.substring(m, F.length(local) + 1, F.length(m))))
         .when(whole("ip"), _ip(m, key))
-        .when(whole("iso_date"), _date(m, iso, "yyyy-MM-dd", key, "iso"))
-        .when(whole("day_date"), _day_first(m, key))
+        .when(whole("iso_date"), _iso_date(m, key))
+        .when(whole("day_date"), _written_date(m, key))
+        .when(whole("ssn"), _ssn(m, key))
         .when(whole("card"), _card(m, key))
-        .otherwise(_refilled(m, permuted_chars(digits, f"{key}|digits")))
+        .otherwise(_phone(m, key))
     )
 
 
-def pseudonymised(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", key: str = KEY) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_found (values replaced), pseudonyms (the new values), text (with them)."""
+def pseudonymised(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, key: str) -> DataFrame:
+    """One row per row of `docs`: doc_id, n_found (values replaced), pseudonyms (the new values), text (with them). key: a secret of your own."""
     clean = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("own"), text_or_empty(text).alias("t"))
     t, none = F.col("t"), F.array().cast("array<string>")
     some = F.col("some")

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from lexmill.llm import chat, exact_dedup, mixing, near_dedup, packing, pii, quality, secrets, topk, toxicity
 from lexmill.llm.common import table
 
+#: The session's setting of the key of pseudonyms; without it the query, meant for test tables, takes a public one.
+PII_KEY = "spark.lexmill.pii.key"
+
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
@@ -40,7 +43,7 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymised(table(spark, sf_dir, "documents"))
+    return pii.pseudonymised(table(spark, sf_dir, "documents"), key=spark.conf.get(PII_KEY, "no secret"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

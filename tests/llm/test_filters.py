@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import time
 import zlib
+from datetime import date
 
 import numpy as np
 import pytest
@@ -46,6 +48,42 @@ def test_secrets_against_brute_force(spark, sf_dir):
             assert set(want) <= set(r.spans.split(",")) or not want
 
 
+def all_spans(text):
+    """Base spans, and weak ones that a complementary part stands near to, by comparing all pairs."""
+    text = text or ""
+    base = [(int(x.split(":")[1]), secrets.KINDS.index(x.split(":")[0]), int(x.split(":")[2])) for x in base_spans(text)]
+    weak = []
+    for kind, pattern, group in (("identifier", secrets.IDENTIFIER, 2), ("bare", secrets.BARE, 0), ("endpoint", secrets.ENDPOINT, 0)):
+        for m in re.finditer(pattern, text, re.ASCII):
+            if kind == "endpoint" or (kind == "identifier" and len(m.group(group)) >= 3) or (kind == "bare" and all(re.search(p, m.group()) for p in secrets.MIXED)):
+                weak.append((m.start(), secrets.KINDS.index(kind), m.end()))
+    linked = []
+    for s, n, e in weak:
+        near = [(x, z) for x, m, z in base + weak if secrets.KINDS[m] in secrets.COMPLEMENTS[secrets.KINDS[n]] and (x >= e or s >= z)]
+        if any(x - e <= secrets.SCOPE and s - z <= secrets.SCOPE for x, z in near):
+            linked.append((s, n, e))
+    return ",".join(f"{secrets.KINDS[n]}:{s}:{e}" for s, n, e in sorted(base + linked))
+
+
+def test_linked_spans_against_all_pairs(spark, sf_dir):
+    r = random.Random(3)
+    bits = ["token=abcdef1", "user: bob", "login=alice9", "https://h.example/x", "10.0.0.1:80", "AKIA" + "B" * 16, "0a" * 13, "Zk3" * 9, "client_id=ab12cd", "\u00e9\U0001d11e", " ", "\n"]
+    mixed = ["".join(r.choice(bits) + r.choice([" ", " ", "w " * r.randint(1, 90)]) for _ in range(r.randint(1, 25))) for _ in range(150)]
+    for docs in (docs_of(spark, ODD + mixed), table(spark, sf_dir, "documents")):
+        texts = {x.doc_id: x.text for x in docs.select("doc_id", "text").collect()}
+        got = {x.doc_id: x.spans for x in secrets.report(secrets.scan(docs)).collect()}
+        assert got == {i: all_spans(t) for i, t in texts.items()}
+
+
+def test_a_text_of_very_many_secrets(spark):
+    text = " ".join(f"token=abcdef{k} user=u{k}x" for k in range(40_000))
+    began = time.time()
+    row = secrets.report(secrets.scan(docs_of(spark, [text]))).collect()[0]
+    assert (row.n_assign, row.n_linked) == (40_000, 40_000) and time.time() - began < 60
+    want = base_spans(text)
+    assert row.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+
+
 def test_weak_parts_are_reported_only_together(spark):
     got = {r.doc_id: r.spans for r in secrets.report(secrets.scan(docs_of(spark, ODD))).collect()}
     assert {"identifier", "assign", "endpoint"} <= {x.split(":")[0] for x in got[9].split(",")}
@@ -71,23 +109,166 @@ def luhn(digits):
     return sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(map(int, reversed(digits)))) % 10 == 0
 
 
-def test_pseudonyms_keep_format_and_link_equal_values(spark):
-    values = ["anna.b-7@mail.example.com", "192.168.0.77", "2023-02-28", "28.02.2023", "02/28/2023", "123-45-6789", "4111 1111 1111 1111", "4111-1111-1111-1111", "+1 (456) 555-2186"]
-    kept = ["2023-02-30", "4111 1111 1111 1112", "v1.2", "nothing"]
-    rows = {r.doc_id: r for r in pii.pseudonymised(docs_of(spark, [f"<{v}> and <{v}>" for v in values + kept] + [None, "", "long " * 30000 + values[0]])).collect()}
-    new = []
-    for k, v in enumerate(values):
-        assert rows[k].n_found == 2, v
-        a, b = re.fullmatch(r"<(.*)> and <(.*)>", rows[k].text).groups()
-        assert a == b != v and re.sub("[a-z]", "a", re.sub("[0-9]", "0", a)) == re.sub("[a-z]", "a", re.sub("[0-9]", "0", v)) or v.count(".") == 3, (v, a)
-        new.append(a)
-    assert luhn(re.sub(r"\D", "", new[6])) and re.sub(r"\D", "", new[6]) == re.sub(r"\D", "", new[7])
-    assert all(0 <= int(x) < 256 for x in new[1].split("."))
-    for k, v in enumerate(kept, len(values)):
-        assert rows[k].n_found == 0 and rows[k].text == f"<{v}> and <{v}>"
-    n = len(values) + len(kept)
+KEY = "k"
+
+
+def pseudonymised(docs):
+    return pii.pseudonymised(docs, key=KEY)
+
+
+def number(*parts):
+    return int(hashlib.sha256("|".join(parts).encode()).hexdigest()[:12], 16)
+
+
+def plain_permuted(left, right, a, b, name):
+    for i in range(pii.ROUNDS):
+        if i % 2 == 0:
+            left = (left + number(f"{KEY}|{name}", str(i), str(right))) % a
+        else:
+            right = (right + number(f"{KEY}|{name}", str(i), str(left))) % b
+    return left, right
+
+
+def plain_chars(value, name):
+    def shifted(chars, other, i):
+        salt = f"{KEY}|{name}|{i}|{len(chars)}|{other.lower()}"
+        stream, out = hashlib.sha256(salt.encode()).hexdigest() + hashlib.sha256((salt + "+").encode()).hexdigest(), ""
+        for j, c in enumerate(chars):
+            by = int(stream[(j % 32) * 4 :][:4], 16)
+            first, n = (48, 10) if c.isdigit() else (97, 26) if c.islower() else (65, 26)
+            out += chr(first + (ord(c) - first + by) % n)
+        return out
+
+    left, right = value[: len(value) // 2], value[len(value) // 2 :]
+    for i in range(pii.ROUNDS):
+        if i % 2 == 0:
+            left = shifted(left, right, i)
+        else:
+            right = shifted(right, left, i)
+    return left + right
+
+
+def plain_day(day, accepted, name):
+    zero = date(1800, 1, 1).toordinal()
+    n = day.toordinal() - zero
+    while True:
+        left, right = plain_permuted(n % 189, n // 189, 189, 773, name)
+        n = right * 189 + left
+        if accepted(found := date.fromordinal(zero + n)):
+            return found
+
+
+def refill(shape, chars):
+    left = iter(chars)
+    return "".join(next(left) if c.isalnum() else c for c in shape)
+
+
+def day_or_none(y, m, d):
+    try:
+        return date(int(y), int(m), int(d))
+    except ValueError:
+        return None
+
+
+def plain_pseudonym(v):
+    """The same maps, one value at a time, in plain integers and strings."""
+    digits = re.sub(r"\D", "", v)
+    if "@" in v:
+        local, _, host = v.partition("@")
+        return refill(local, plain_chars(re.sub("[^A-Za-z0-9]", "", local), "email")) + "@" + host
+    if re.fullmatch(r"\d+(\.\d+){3}", v):
+        n = int.from_bytes(bytes(map(int, v.split("."))), "big")
+        blocks = [(int.from_bytes(bytes(map(int, ip.split("."))), "big"), bits) for ip, bits in pii.BLOCKS]
+        own = lambda n: next(((f, b) for f, b in blocks if f <= n < f + 2**b), None)
+        home = own(n)
+        first, bits = home or (0, 32)
+        a, b = 2 ** (bits // 2), 2 ** (bits - bits // 2)
+        while True:
+            left, right = plain_permuted((n - first) // b, (n - first) % b, a, b, f"ip|{first}")
+            n = first + left * b + right
+            if home or own(n) is None:
+                return ".".join(map(str, n.to_bytes(4, "big")))
+    if re.fullmatch(r"\d{4}-\d\d-\d\d", v):
+        day = day_or_none(*v.split("-"))
+        return plain_day(day, lambda d: True, "iso").isoformat() if day else v
+    if re.fullmatch(r"\d\d?([./])\d\d?\1\d{4}", v):
+        sign = "/" if "/" in v else "."
+        a, b, y = v.split(sign)
+        fits = lambda part, n: len(part) == 2 or n <= 9
+        if day := day_or_none(y, b, a):
+            to = plain_day(day, lambda d: fits(a, d.day) and fits(b, d.month), f"day{sign}{len(a)}{len(b)}")
+            x, z = to.day, to.month
+        elif day := day_or_none(y, a, b):
+            to = plain_day(day, lambda d: fits(a, d.month) and d.day > 12, f"month{sign}{len(a)}{len(b)}")
+            x, z = to.month, to.day
+        else:
+            return v
+        return f"{x:0{len(a)}}{sign}{z:0{len(b)}}{sign}{to.year}"
+    if re.fullmatch(r"\d{3}-\d\d-\d{4}", v):
+        area, group, serial = map(int, v.split("-"))
+        areas = [x for x in range(1, 900) if x != 666]
+        if area not in areas or not group or not serial:
+            return v
+        left, right = plain_permuted(areas.index(area) * 99 + group - 1, serial - 1, 898 * 99, 9999, "ssn")
+        return f"{areas[left // 99]:03}-{left % 99 + 1:02}-{right + 1:04}"
+    if 13 <= len(digits) <= 19 and v[0].isdigit():
+        if not luhn(digits):
+            return v
+        body = digits[:6] + plain_chars(digits[6:-1], "card")
+        return refill(v, body + next(c for c in "0123456789" if luhn(body + c)))
+    code = re.sub(r"\D", "", m.group()) if (m := re.match(pii.COUNTRY, v)) else ""
+    own = digits[len(code) :]
+    if code in ("", "1") and re.fullmatch("[2-9][0-9]{2}[2-9][0-9]{6}", own):
+        left, right = plain_permuted(int(own[:3]) - 200, int(own[3:]) - 2000000, 800, 8000000, "phone")
+        return refill(v, f"{code}{left + 200}{right + 2000000}")
+    return refill(v, code + own[0] + plain_chars(own[1:], "phone"))
+
+
+VALUES = [
+    "anna.b-7@mail.example.com", "Q@x.de", "192.168.0.77", "10.1.2.3", "172.31.255.1", "8.8.8.8", "127.0.0.1", "203.0.113.9", "8.252.9.145", "255.255.255.255", "2023-02-28", "2024-02-29", "28.02.2023", "02/28/2023", "12/25/2020", "1/2/2020",
+    "31.1.1999", "1.12.2001", "3/31/2020", "05/3/2020", "123-45-6789", "665-01-0001", "899-99-9999", "4111 1111 1111 1111", "4111-1111-1111-1111", "3782 822463 10005", "+1 (456) 555-2186", "555-223-4567", "555-123-4567", "+44 20 7946 0958",
+    "+49 555 223 4567", "+353 1 234 5678",
+]
+
+
+def test_pseudonyms_against_a_plain_network(spark):
+    """Every value of a text, by another implementation; formats stay, and what isn't valid stays whole."""
+    kept = ["2023-02-30", "4111 1111 1111 1112", "000-12-3456", "666-12-3456", "900-12-3456", "123-00-6789", "123-45-0000", "31/31/2020", "v1.2", "nothing"]
+    rows = {r.doc_id: r for r in pseudonymised(docs_of(spark, [f"<{v}> and <{v}>" for v in VALUES + kept] + [None, "", "long " * 30000 + VALUES[0]])).collect()}
+    for k, v in enumerate(VALUES):
+        new = plain_pseudonym(v)
+        assert rows[k].text == f"<{new}> and <{new}>" and rows[k].n_found == 2 * (new != v), (v, new)
+        shape = lambda x: re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "0", x)))
+        assert shape(new) == shape(v) or v.count(".") == 3, (v, new)
+        assert new != v, v
+    for k, v in enumerate(kept, len(VALUES)):
+        assert rows[k].n_found == 0 and rows[k].text == f"<{v}> and <{v}>", v
+    n = len(VALUES) + len(kept)
     assert (rows[n].text, rows[n].n_found) == (None, 0) and (rows[n + 1].text, rows[n + 1].n_found) == ("", 0)
-    assert rows[n + 2].text.endswith(new[0])
+    assert rows[n + 2].text.endswith(plain_pseudonym(VALUES[0]))
+    new = dict(zip(VALUES, map(plain_pseudonym, VALUES), strict=True))
+    assert new["192.168.0.77"].startswith("192.168.") and new["10.1.2.3"].startswith("10.") and new["172.31.255.1"].startswith("172.")
+    assert luhn(re.sub(r"\D", "", new["4111 1111 1111 1111"])) and new["4111-1111-1111-1111"].replace("-", " ") == new["4111 1111 1111 1111"]
+    assert new["+49 555 223 4567"].startswith("+49 ") and new["+353 1 234 5678"].startswith("+353 ")
+
+
+def test_pseudonyms_of_documents_against_a_plain_network(spark, sf_dir):
+    """Whole texts of the table: the values that the pattern gives, each mapped by the other implementation."""
+    docs = table(spark, sf_dir, "documents")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    found = 0
+    for r in pseudonymised(docs).collect():
+        text = texts[r.doc_id]
+        pieces = re.split(f"({'|'.join(x.replace('%s', '') for x in (pii.EMAIL, pii.IPV4, pii.ISO_DATE))})", text) if text else []
+        # Kinds whose search doesn't depend on the others are looked for again here.
+        own = [p for p in pieces[1::2] if p and plain_pseudonym(p) != p]
+        assert all(plain_pseudonym(p) in r.pseudonyms for p in own)
+        found += len(own)
+        new = list(r.pseudonyms)
+        assert len(new) == r.n_found and (text is None) == (r.text is None)
+        if not new:
+            assert r.text == text
+    assert found > 5
 
 
 def test_pseudonyms_of_values_beside_other_digits(spark):
@@ -101,22 +282,28 @@ def test_pseudonyms_of_values_beside_other_digits(spark):
         ("17 {}", ["1234-5678-9012-3452"]), ("{}, {}", ["4111111111111111@mail.example.com", card]),
     ]
     texts = [c.format(*v) for c, v in cases]
-    alone = sorted({v for _, values in cases for v in values})
-    new = {alone[r.doc_id]: r.text for r in pii.pseudonymised(docs_of(spark, alone)).collect()}
-    rows = {r.doc_id: r for r in pii.pseudonymised(docs_of(spark, texts)).collect()}
+    rows = {r.doc_id: r for r in pseudonymised(docs_of(spark, texts)).collect()}
     for k, (c, values) in enumerate(cases):
-        assert rows[k].text == c.format(*[new[v] for v in values]), texts[k]
-        assert all(new[v] != v for v in values) and rows[k].n_found == len(values), texts[k]
+        assert rows[k].text == c.format(*map(plain_pseudonym, values)), texts[k]
+        assert all(plain_pseudonym(v) != v for v in values) and rows[k].n_found == len(values), texts[k]
 
 
 def test_pseudonyms_are_one_to_one(spark):
-    """All days of four years, and all values of a small domain, map to different ones."""
-    days = spark.range(1461).select(F.date_format(F.date_add(F.lit("2019-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("v"))
-    got = [r[0] for r in days.select(pii.pseudonym(F.col("v"))).collect()]
-    assert len(set(got)) == 1461
+    """All days of four years, in each form, and all values of small domains, map to different ones."""
+    day = F.date_add(F.lit("2019-01-01").cast("date"), F.col("id").cast("int"))
+    forms = ["yyyy-MM-dd", "dd/MM/yyyy", "d/M/yyyy", "M/d/yyyy", "dd.MM.yyyy", "MM.dd.yyyy"]
+    values = spark.range(1461).select(F.explode(F.array(*[F.date_format(day, f) for f in forms])).alias("v")).distinct()
+    rows = values.select("v", pii.pseudonym(F.col("v"), KEY).alias("p")).collect()
+    assert len({r.p for r in rows}) == len(rows) > 5000
+    assert all(re.sub("[0-9]", "0", r.p) == re.sub("[0-9]", "0", r.v) for r in rows)
+    some = random.Random(1).sample(rows, 300)
+    assert [r.p for r in some] == [plain_pseudonym(r.v) for r in some]
     ssn = spark.range(3000).select(F.format_string("123-45-%04d", "id").alias("v"))
-    other = ssn.select("v", pii.pseudonym(F.col("v")).alias("a"), pii.pseudonym(F.col("v"), "another").alias("b")).collect()
+    other = ssn.select("v", pii.pseudonym(F.col("v"), KEY).alias("a"), pii.pseudonym(F.col("v"), "another").alias("b")).collect()
     assert len({r.a for r in other}) == 3000 and sum(r.a == r.b for r in other) < 30
+    local = spark.range(3000).select(F.format_string("172.16.%d.%d", F.floor(F.col("id") / 256).cast("int"), (F.col("id") % 256).cast("int")).alias("v"))
+    moved = [r[0] for r in local.select(pii.pseudonym(F.col("v"), KEY)).collect()]
+    assert len(set(moved)) == 3000 and all(16 <= int(x.split(".")[1]) < 32 for x in moved)
 
 
 def labelled(spark, n, bad, good, column):
