@@ -10,7 +10,7 @@ STOPWORDS = "的很了么呢是嘛个都也比还这于不与才上用就好在
 BLOCKLIST = ("锟斤拷", "拷斤拷", "烫烫烫", "屯屯屯", "铪铪", "锟斤", "斤拷")
 # The characters of words.
 HAN_FIRST, HAN_LAST = "一", "龥"
-#: The context of a word at a token's edge; one ordinary symbol.
+# Fixed value: the context of a word at a token's edge; one ordinary symbol.
 EDGE = "$"
 # Names of text files.
 EXTENSIONS = (".txt", ".csv", ".json", ".sql", ".md", ".html", ".htm")
@@ -22,7 +22,7 @@ UTF8_HAN, OTHER_HAN, UTF8_DAMAGE = 0.005, 0.01, 0.05
 OTHER_ENCODINGS = ("gb18030", "gbk", "big5")
 # Files of one or few huge lines.
 LONG_LINE_BYTES, LONG_LINE_BREAKS, LONG_LINE_SAMPLE = 100 * 1024 * 1024, 10, 4 * 1024 * 1024
-#: Intermediate data as a multiple of the input.
+# Fixed value: intermediate data as a multiple of the input.
 ROOM_FACTOR = 8
 
 
@@ -30,6 +30,7 @@ ROOM_FACTOR = 8
 class Settings:
     """Thresholds; all comparisons are "at least"."""
 
+    # The defaults.
     max_len: int = 6
     min_freq: int = 10
     pmi: float = 1.0

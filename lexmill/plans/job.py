@@ -10,7 +10,8 @@ import tempfile
 import uuid
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from lexmill.config import ROOM_FACTOR, Settings
 from lexmill.plans.lexicon import lexicon_of, merged, word_statistics
@@ -41,7 +42,9 @@ class Stages:
     def made(self, name: str, df: DataFrame | None) -> DataFrame:
         """The stage's table; written first from `df` unless it is complete."""
         if not self.done(name):
-            df.write.mode("overwrite").parquet(self._path(name))
+            seen = Observation(name)
+            df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(self._path(name))
+            log.info("%s: %d rows", name, seen.get["rows"])
         return self.spark.read.parquet(self._path(name))
 
     def clear(self) -> None:
@@ -73,11 +76,14 @@ def signature_of(input_path: str, files: list[TextFile], settings: Settings) ->
 
 def check_room(folder: str, total: int) -> None:
     """RuntimeError if a local folder's disk has less free than the intermediate data is likely to take."""
-    if "://" in folder:
+    local = folder.removeprefix("file://")
+    if "://" in local:
         return
-    free = shutil.disk_usage(folder).free
+    while not os.path.exists(local):  # it may not be made yet
+        local = os.path.dirname(local) or "."
+    free = shutil.disk_usage(local).free
     if free < total * ROOM_FACTOR:
-        raise RuntimeError(f"not enough disk space in {folder}: {free / 1e9:.1f} GB free, about {total * ROOM_FACTOR / 1e9:.1f} GB needed; name another folder or raise min_freq")
+        raise RuntimeError(f"{folder} has room for {free >> 20} MiB, but a corpus of {total >> 20} MiB may need {total * ROOM_FACTOR >> 20} MiB there for its stages")
 
 
 def run(
@@ -114,7 +120,7 @@ def run(
         folder = tempfile.mkdtemp(prefix="lexmill-", dir=temp_dir) if temp_dir else f"{shared_dir(spark)}/job-{uuid.uuid4().hex}"
     stages = Stages(spark, folder)
     try:
-        check_room(folder if work_dir or temp_dir else tempfile.gettempdir(), total)
+        check_room(folder if work_dir or temp_dir else shared_dir(spark), total)
         signature = signature_of(input_path, files, settings)
         if work_dir:
             before = stages.signature()

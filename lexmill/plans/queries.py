@@ -6,6 +6,7 @@ alphabets are used: the plain one, and one whose letters include a stopword and
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,8 @@ from lexmill.functions import text as T
 from lexmill.operators import exchange, ngrams, scoring, statistics
 from lexmill.operators import tokens as tk
 from lexmill.plans import lexicon as plan
-from lexmill.sources import encoding
-from lexmill.staging import staged
+from lexmill.sources import encoding, files, sinks, tables
+from lexmill.staging import shared_dir, staged
 
 #: Letters z, q, w and x as a stopword and as parts of a blocked fragment.
 MIXED = T.FIXTURE.translate(str.maketrans({T.FIXTURE[25]: "的", T.FIXTURE[16]: "锟", T.FIXTURE[22]: "斤", T.FIXTURE[23]: "拷"}))
@@ -154,7 +155,9 @@ def pmi_missing_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pmi_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pmi(spark, sf_dir).where((F.length("word") >= 2) & (F.col("pmi") >= 1.0))
+    stats = _stats(spark, sf_dir)
+    scored = scoring.with_pmi(stats.select("word", "freq"), statistics.index(stats, MIN_FREQ))
+    return scored.where((F.length("word") >= 2) & (F.col("pmi") >= 1.0)).select("word", "freq", T.six_places(F.col("pmi")).alias("pmi"))
 
 
 def _frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,6 +233,35 @@ def detect_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", names.alias("written"), found("text", names).alias("found")).groupBy("written", "found").agg(F.count(F.lit(1)).alias("n"))
 
 
+def read_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as text files, then listed, their encodings found, and read again as lines."""
+    folder = f"{shared_dir(spark)}/texts-{uuid.uuid4().hex}"
+    _documents(spark, sf_dir).select(T.fixture(F.coalesce("text", F.lit(""))).alias("value")).write.option("fileExtension", "txt").text(folder)
+    return files.read_lines(spark, files.described(spark, folder)).groupBy("encoding", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def statistics_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics written to their file, and read again."""
+    path = f"{shared_dir(spark)}/statistics-{uuid.uuid4().hex}.data"
+    sinks.write_statistics(plan.merged(plan.word_statistics(_lines(spark, sf_dir)), -1.0), path)
+    return tables.read_statistics(spark, path)
+
+
+def ngram_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Right neighbours written a line each, and read again."""
+    folder = f"{shared_dir(spark)}/grams-{uuid.uuid4().hex}"
+    sinks.write_ngrams(ngrams.side_contexts(_grams(spark, sf_dir), "r"), folder, "ctx")
+    return tables.read_ngrams(spark, folder).groupBy("word", "ctx").agg(F.sum("c").alias("c"))
+
+
+def positions_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of positions, of a file with lines that don't parse."""
+    folder = f"{shared_dir(spark)}/positions-{uuid.uuid4().hex}"
+    lines = ["no table", *["\t".join(map(str, row)) for row in POSITIONS], "x\t1\ty\t2"]
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(folder)
+    return tables.position_table(spark, folder)
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in _QUERIES}
 
@@ -238,7 +270,7 @@ _QUERIES: tuple[Query, ...] = (
     clean_text, tokenize, token_offsets, token_counts, is_han_word, ngrams_forward, ngrams_backward, ngram_contexts, word_freq, min_freq_filter, right_entropy,
     left_entropy, entropy_merge, both_sides, both_sides_pruned, entropy_threshold, single_char_total, frequency_index, binary_splits, pmi, pmi_missing_parts,
     pmi_filter, position_score, position_filter, position_missing_table, blocklist_filter, pos_tag, bucket_hash, union_corpora, sorted_words, lexicon,
-    lexicon_top, lexicon_by_lang, detect_encoding,
+    lexicon_top, lexicon_by_lang, detect_encoding, read_files, statistics_file, ngram_files, positions_file,
 )
 
 
@@ -324,7 +356,7 @@ o as (select doc_id, tok, sum(length(tok)) over (partition by doc_id order by k)
         "binary_splits": _STATS + "select word, freq, s::int as s, substr(word, 1, s) as prefix, substr(word, s + 1) as suffix from m, unnest(generate_series(1, length(word) - 1)) as u(s)",
         "pmi": _STATS.rstrip() + _sql_pmi() + "select word, freq, round(pmi, 6) as pmi from p",
         "pmi_missing_parts": _STATS.rstrip() + _sql_pmi(200) + "select word, freq, round(pmi, 6) as pmi from p",
-        "pmi_filter": _STATS.rstrip() + _sql_pmi() + "select word, freq, round(pmi, 6) as pmi from p where length(word) >= 2 and round(pmi, 6) >= 1",
+        "pmi_filter": _STATS.rstrip() + _sql_pmi() + "select word, freq, round(pmi, 6) as pmi from p where length(word) >= 2 and pmi >= 1",
         "position_score": _BASE.rstrip() + f",\n{_SQL_FREQ},\n{_POSITIONS}\nselect word, freq, {_SCORED} as pos_prob from f {_PLACED} where freq >= {MIN_FREQ} and length(word) >= 2",
         "position_filter": _STATS.rstrip() + _sql_pmi().rstrip() + f",\n{_POSITIONS}\nselect word, freq, round(pmi, 6) as pmi, entropy, {_SCORED} as pos_prob, 'x' as pos from p {_PLACED} where length(word) >= 2 and entropy >= 2 and pmi >= 1 and {_SCORED} >= 0.1",
         "position_missing_table": _STATS.rstrip() + _sql_pmi() + _LEXICON,
@@ -332,6 +364,10 @@ o as (select doc_id, tok, sum(length(tok)) over (partition by doc_id order by k)
         "pos_tag": _BASE.rstrip() + f",\n{_SQL_FREQ},\ntags(word, tag) as (values {', '.join(map(str, TAGS))})\nselect word, freq, coalesce(tag, 'x') as pos from f left join tags using (word) where freq >= {MIN_FREQ} and length(word) >= 2",
         "union_corpora": _with(f"d as (select 0 as doc_id, '' as lang, translate(lower(text), '{LETTERS}', '{T.FIXTURE}') as text from (select text from documents union all select text from conversations union all select text from benchmark))", _SQL_TOKENS) + "select tok, c from tc",
         "sorted_words": _BASE.rstrip() + f",\n{_SQL_FREQ}\nselect word, freq from f where freq >= {MIN_FREQ} and length(word) >= 2 order by word",
+        "read_files": _with(_sql_lines().replace(" from documents", " from documents where text is not null") + ", w as (select unnest(regexp_split_to_array(text, '\\r\\n|\\r|\\n')) as value from d union all select '' from documents where text is null)") + "select 'utf-8' as encoding, value, count(*) as n from w group by value",
+        "statistics_file": _STATS + f"{entropies} m",
+        "ngram_files": _BASE + "select word, r as ctx, sum(c)::bigint as c from g group by all",
+        "positions_file": "select * from (values " + ", ".join(f"('{c}', {s}::double, {m}::double, {e}::double)" for c, s, m, e in POSITIONS) + ") as t(ch, p_s, p_m, p_e)",
         "lexicon": _STATS.rstrip() + _sql_pmi() + f"{_LEXICON} order by freq desc, word",
         "lexicon_top": _STATS.rstrip() + _sql_pmi() + f"{_LEXICON} order by freq desc, word limit 50",
         "lexicon_by_lang": by_lang + _LEXICON.replace("select word", "select lang, word"),

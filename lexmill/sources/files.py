@@ -6,7 +6,9 @@ import codecs
 import os
 import re
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,8 @@ from lexmill.staging import hadoop_path
 #: Encodings in which the bytes 0A and 0D only ever end lines.
 LINE_SAFE = re.compile(r"utf[-_]?8|ascii|gbk|gb2312|gb18030|big5|latin|iso[-_]?8859|cp125|windows", re.I)
 BLOCK = 8 << 20
+#: Bytes of a file that executors read whole to find its encoding; files from which on they do; driver threads for other files.
+SMALL_FILE, FEW_FILES, SAMPLERS = 8 << 20, 32, 16
 LINES = "path string, encoding string, value string"
 _BEYOND_HAN = re.compile(r"[^一-龥]")
 
@@ -81,8 +85,35 @@ def has_long_lines(spark: SparkSession, file: TextFile, least: int = LONG_LINE_B
 
 
 def described(spark: SparkSession, path: str) -> list[TextFile]:
-    """The files below `path` with their encodings. A few samples of each go to the driver, a bounded number of bytes."""
-    return [TextFile(f.path, f.size, detect(samples(spark, f)), has_long_lines(spark, f)) for f in list_files(spark, path)]
+    """The files below `path` with their encodings.
+
+    Executors read files of up to `SMALL_FILE` bytes and send back their encodings only. Of larger files, which are few for
+    their bytes, samples go to the driver, several files at a time.
+    """
+    files = list_files(spark, path)
+    small = [f for f in files if f.size <= SMALL_FILE and not f.hidden]
+    found = _small_encodings(spark, small) if len(small) > FEW_FILES else {}
+    rest = [f for f in files if f.path not in found]
+    with ThreadPoolExecutor(SAMPLERS) as pool:
+        found |= dict(zip((f.path for f in rest), pool.map(lambda f: (detect(samples(spark, f)), has_long_lines(spark, f)), rest), strict=True))
+    return [TextFile(f.path, f.size, *found[f.path]) for f in files]
+
+
+def _small_encodings(spark: SparkSession, files: list[TextFile]) -> dict[str, tuple[str, bool]]:
+    """Encoding and whether lines are long, by path; files come whole to the executors."""
+    n = SAMPLE_BYTES
+    # Cut in the JVM, so that only samples go to Python.
+    content, size = F.col("content"), F.col("length").cast("int")
+    parts = F.when(size <= n, F.array("content")).otherwise(F.array(*[F.substring(content, at + 1, F.lit(n)) for at in (F.lit(0), F.floor((size - n) / 2).cast("int"), size - n)]))
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"path": frame["path"], "encoding": [detect([bytes(b) for b in own] or [b""]) for own in frame["parts"]]})
+
+    read = spark.read.format("binaryFile").load([f.path for f in files]).select("path", parts.alias("parts"))
+    plain = {f.path.removeprefix("file://").removeprefix("file:"): f.path for f in files}
+    rows = read.mapInPandas(each, "path string, encoding string").collect()
+    return {plain[unquote(r["path"]).removeprefix("file://").removeprefix("file:")]: (r["encoding"], False) for r in rows}
 
 
 def decoded(encoding: str) -> Callable[[pd.Series], pd.Series]:

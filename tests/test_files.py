@@ -49,10 +49,10 @@ def test_detection():
     damaged[1000:1003] = b"\xff\xfe\x88"
     assert encoding.detect([bytes(damaged)]) == "utf-8"
     assert encoding.detect([bytes(range(256)) * 4])
-    assert encoding.decode_utf8_at_edges("天地".encode()[2:-1]) == ""
-    assert encoding.decode_utf8_at_edges("天地玄".encode()[1:-2]) == "地"
+    assert encoding.decode_cut_utf8("天地".encode()[2:-1]) == ""
+    assert encoding.decode_cut_utf8("天地玄".encode()[1:-2]) == "地"
     with pytest.raises(UnicodeDecodeError):
-        encoding.decode_utf8_at_edges(b"abc\xffdefgh")
+        encoding.decode_cut_utf8(b"abc\xffdefgh")
 
 
 def test_samples(spark, tmp_path):
@@ -169,7 +169,7 @@ def test_changed_input_and_force_start_over(spark, tmp_path):
 
 
 def test_room_is_checked(spark, tmp_path):
-    with pytest.raises(RuntimeError, match="disk space"):
+    with pytest.raises(RuntimeError, match="has room for"):
         job.check_room(str(tmp_path), 1 << 60)
 
 
