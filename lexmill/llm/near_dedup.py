@@ -50,7 +50,7 @@ PERCENT = 85
 #: Nodes, and bytes of their sets, of a tile of a cluster. A cell holds two tiles, or one and two pivots.
 TILE, TILE_BYTES = 512, 8 << 20
 #: Nodes of a tile of a bucket, which is searched by signatures only.
-BUCKET_TILE = 1024
+BUCKET_TILE = 2048
 #: Node ids that may be broadcast as a filter of the second scan (16 bytes each); beyond it, the scan is joined by shuffle.
 BROADCAST_NODES = 500_000
 #: Distinct words whose hashes a worker keeps.
@@ -312,7 +312,9 @@ def linked_groups(members: DataFrame, payloads: DataFrame, link: Link, tile: int
     toward = F.transform(upto(F.col("tops")), lambda k: F.struct(own(F.col("others")).alias("i"), (-1 - k).alias("j")))
     asked = F.transform(upto(F.col("others")), lambda k: F.struct(k.alias("i"), (-1 - own(F.col("tops"))).alias("j")))
     second = left.withColumn("cell", F.explode(F.when(F.col("root") == F.col("top"), asked).otherwise(F.concat(among, toward))))
-    more = edges(second.select("group", "cell.i", "cell.j", "node", F.col("root").alias("label")))
+    more = staged(edges(second.select("group", "cell.i", "cell.j", "node", F.col("root").alias("label"))), "more")
+    if not more.limit(1).count():
+        return roots
     joined = staged(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "a", "b"), "roots")
     dropped(left, roots)
     return joined
