@@ -54,7 +54,7 @@ BUCKET_TILE = 2048
 #: Node ids that may be broadcast as a filter of the second scan (16 bytes each); beyond it, the scan is joined by shuffle.
 BROADCAST_NODES = 500_000
 #: Distinct words whose hashes a worker keeps.
-CACHE = 400_000
+CACHE = 100_000
 _M = np.random.default_rng(20240229)
 _SEED = _M.integers(1, 2**32, SYMBOLS, dtype=np.uint32)
 _FACTOR = _M.integers(1, 2**32, SYMBOLS, dtype=np.uint32) | np.uint32(1)

@@ -39,11 +39,13 @@ END = 1
 #: Of its share of a bin, the part that a piece may leave empty.
 SLACK = 0.03
 #: Distinct chunks that a worker's cache holds; as many of the generation before, and words.
-CACHE = 300_000
+CACHE = 150_000
 #: Tokens of finished sequences that a worker holds.
 HELD = 1 << 18
-#: Texts whose new words are merged together.
-GROUP = 1024
+#: Texts whose new words are merged together, and their characters (a longer text is a group of its own).
+GROUP, GROUP_CHARS = 1024, 1 << 20
+#: Bytes of words that are merged in one sweep of arrays, padded to one width.
+SWEEP = 1 << 18
 VOCABULARY = "word_bpe_49k.json"
 _ODD = re.compile("[\x1c-\x1f]")
 #: A comma or full stop at a chunk's end that a sign stands before, with which it is one pre-token.
@@ -110,8 +112,9 @@ class WordMerger:
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         for low, high in zip(_WIDTHS, _WIDTHS[1:], strict=False):
             rows = np.flatnonzero((lengths > low) & (lengths <= high))
-            for part in range(0, len(rows), 8192):
-                self._merge(rows[part : part + 8192], words, lengths, high, out)
+            step = SWEEP // high
+            for part in range(0, len(rows), step):
+                self._merge(rows[part : part + step], words, lengths, high, out)
         return out
 
     def _merge(self, rows: np.ndarray, words: list[bytes], lengths: np.ndarray, width: int, out: list[bytes]) -> None:
@@ -208,8 +211,8 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Texts are taken in groups, so that the words new to a group are merged together."""
-        for first in range(0, len(texts), GROUP):
-            group = [self._cut(t) if t else [] for t in texts[first : first + GROUP]]
+        for texts_of in _text_groups(texts):
+            group = [self._cut(t) if t else [] for t in texts_of]
             if len(self.young) > self.limit:
                 self.old, self.young = self.young, dict(self.special)
             young, old = self.young, self.old
@@ -222,6 +225,19 @@ class ChunkEncoder:
                 yield b"".join(map(young.__getitem__, chunks))
 
 
+def _text_groups(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in runs of at most `GROUP` texts and `GROUP_CHARS` characters, or one text."""
+    first = held = 0
+    for n, text in enumerate(texts):
+        size = len(text or "")
+        if n > first and (n - first == GROUP or held + size > GROUP_CHARS):
+            yield texts[first:n]
+            first, held = n, 0
+        held += size
+    if first < len(texts):
+        yield texts[first:]
+
+
 def _chunks(text: str) -> list[str]:
     """The text cut at white space, where no pre-token spans; case doesn't count.
 
