@@ -39,13 +39,13 @@ END = 1
 #: Of its share of a bin, the part that a piece may leave empty.
 SLACK = 0.03
 #: Distinct chunks that a worker's cache holds; as many of the generation before, and words.
-CACHE = 150_000
+CACHE = 300_000
 #: Tokens of finished sequences that a worker holds.
 HELD = 1 << 18
 #: Texts whose new words are merged together, and their characters (a longer text is a group of its own).
-GROUP, GROUP_CHARS = 1024, 1 << 20
-#: Bytes of words that are merged in one sweep of arrays, padded to one width.
-SWEEP = 1 << 18
+GROUP, GROUP_CHARS = 1024, 1 << 21
+#: Words, and their bytes when padded to one width, that are merged in one sweep of arrays.
+SWEEP, SWEEP_BYTES = 8192, 1 << 18
 VOCABULARY = "word_bpe_49k.json"
 _ODD = re.compile("[\x1c-\x1f]")
 #: A comma or full stop at a chunk's end that a sign stands before, with which it is one pre-token.
@@ -112,7 +112,7 @@ class WordMerger:
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         for low, high in zip(_WIDTHS, _WIDTHS[1:], strict=False):
             rows = np.flatnonzero((lengths > low) & (lengths <= high))
-            step = SWEEP // high
+            step = min(SWEEP, SWEEP_BYTES // high)
             for part in range(0, len(rows), step):
                 self._merge(rows[part : part + step], words, lengths, high, out)
         return out
