@@ -33,8 +33,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token sequences: one row per piece, with its ids."""
-    return packing.pack(docs, with_ids=True)
+    """The token sequences: one row per piece, with its ids.
+
+    Executors' heaps have grown by the stages before, so the workers' caches are smaller than the operator's own.
+    """
+    return packing.pack(docs, with_ids=True, cache=150_000, group_chars=1 << 20)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -161,7 +161,7 @@ class ChunkEncoder:
     any other character go to the tokenizer library.
     """
 
-    def __init__(self, path: str, cache: int = CACHE):
+    def __init__(self, path: str, cache: int = CACHE, group_chars: int = GROUP_CHARS):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -174,6 +174,7 @@ class ChunkEncoder:
         self.special = {f" {c}": n.to_bytes(4, "little") for c, n in added.items()}
         self.literal = re.compile(f"({'|'.join(map(re.escape, sorted(added, key=len, reverse=True)))})") if added else None
         self.limit, self.young, self.old = cache, dict(self.special), {}
+        self.group_chars = group_chars
         self.words: dict[str, bytes] = {}
 
     def _learn(self, missing: list[str]) -> None:
@@ -211,7 +212,7 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Texts are taken in groups, so that the words new to a group are merged together."""
-        for texts_of in _text_groups(texts):
+        for texts_of in _text_groups(texts, self.group_chars):
             group = [self._cut(t) if t else [] for t in texts_of]
             if len(self.young) > self.limit:
                 self.old, self.young = self.young, dict(self.special)
@@ -225,12 +226,12 @@ class ChunkEncoder:
                 yield b"".join(map(young.__getitem__, chunks))
 
 
-def _text_groups(texts: list[str | None]) -> Iterator[list[str | None]]:
-    """The texts in runs of at most `GROUP` texts and `GROUP_CHARS` characters, or one text."""
+def _text_groups(texts: list[str | None], most_chars: int) -> Iterator[list[str | None]]:
+    """The texts in runs of at most `GROUP` texts and `most_chars` characters, or one text."""
     first = held = 0
     for n, text in enumerate(texts):
         size = len(text or "")
-        if n > first and (n - first == GROUP or held + size > GROUP_CHARS):
+        if n > first and (n - first == GROUP or held + size > most_chars):
             yield texts[first:n]
             first, held = n, 0
         held += size
@@ -324,7 +325,7 @@ class HarmonicPacker:
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _pack(vocabulary: Callable[[], str], capacity: int, slack: float, with_ids: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _pack(vocabulary: Callable[[], str], capacity: int, slack: float, with_ids: bool, cache: int = CACHE, group_chars: int = GROUP_CHARS) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     end = END.to_bytes(4, "little")
 
     def part(doc: tuple[int | None, bytes, int], start: int, length: int) -> tuple[int | None, bytes, int]:
@@ -345,7 +346,7 @@ def _pack(vocabulary: Callable[[], str], capacity: int, slack: float, with_ids:
         return frame.astype({"doc_id": "Int64"})
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = ChunkEncoder(vocabulary())
+        encoder = ChunkEncoder(vocabulary(), cache, group_chars)
         packer = HarmonicPacker(capacity, slack, part)
         first = TaskContext.get().partitionId() << 40
         for frame in frames:
@@ -391,12 +392,12 @@ def public_vocabulary(name: str = VOCABULARY) -> Callable[[], str]:
     return path
 
 
-def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabulary: Callable[[], str] | None = None, capacity: int = CAPACITY, slack: float = SLACK, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabulary: Callable[[], str] | None = None, capacity: int = CAPACITY, slack: float = SLACK, with_ids: bool = False, cache: int = CACHE, group_chars: int = GROUP_CHARS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with_ids its token ids.
 
-    capacity must be a power of two. Memory: the cache, a batch of documents, finished sequences of `HELD` tokens, and the
+    capacity must be a power of two; cache and group_chars trade memory for time and don't change results. Memory: the cache, a batch of documents, finished sequences of `HELD` tokens, and the
     open bins: a hundred classes or so, each with less than a sequence's ids, in up to capacity pieces of a class.
     """
     schema = PIECES + (", ids array<int>" if with_ids else "")
     kept = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return kept.mapInPandas(_pack(vocabulary or public_vocabulary(), capacity, slack, with_ids), schema)
+    return kept.mapInPandas(_pack(vocabulary or public_vocabulary(), capacity, slack, with_ids, cache, group_chars), schema)
