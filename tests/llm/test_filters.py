@@ -353,6 +353,49 @@ def test_every_window_is_scored():
     assert set(windows.ravel()) - {0} == set(range(1, n + 1))
 
 
+def plain_score(net, text):
+    """A document's score word by word: every window by itself, each direction a loop over plain vectors."""
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    words, width, stride, n = toxicity.words_of(text), toxicity.WIDTH, toxicity.STRIDE, toxicity.STATE
+    squash = lambda x: 1 / (1 + np.exp(-x))
+
+    def vector(word):
+        grams, _ = toxicity.grams_of([word])
+        return p["words"][net.vocabulary.get(word, 0)] + p["grams"][grams].mean(0)
+
+    def read(vectors, side):
+        h, out = np.zeros(n), []
+        for v in vectors:
+            gates, own = v @ p["input"][side] + p["bias"][side, 0], h @ p["state"][side]
+            z, r = squash(gates[:n] + own[:n]), squash(gates[n : 2 * n] + own[n : 2 * n])
+            h = z * h + (1 - z) * np.tanh(gates[2 * n :] + r * own[2 * n :])
+            out.append(h)
+        return out
+
+    best, at = -np.inf, 0
+    while True:
+        vectors = [vector(w) for w in words[at : at + width]]
+        both = [np.concatenate(x) for x in zip(read(vectors, 0), read(vectors[::-1], 1)[::-1], strict=True)]
+        weights = np.exp([np.tanh(b @ p["attend"]) @ p["query"] for b in both])
+        pooled = sum((w * b for w, b in zip(weights / weights.sum(), both, strict=True)), np.zeros(2 * n)) if both else np.zeros(2 * n)
+        best = max(best, pooled @ p["out"] + p["out_bias"][0])
+        if at + width >= len(words):
+            return squash(best)
+        at += stride
+
+
+def test_toxicity_of_documents_against_single_windows(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    odd = spark.createDataFrame([(None, None), (-1, ""), (-2, "1 2 3"), (-3, "Idiot"), (-4, "\u00e9 " * 16), (-5, "b " * 17), (-6, "x" * 500)], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(odd)
+    net = toxicity.trained(toxicity.sample(docs, labels, "toxic", toxicity.doc_fold(F.col("doc_id"), 5) != 0, toxicity.PER_CLASS, toxicity.MOST_CHARS))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = toxicity.toxicity(docs, labels).collect()
+    assert {r.doc_id for r in rows} == set(texts) and len(rows) == len(texts)
+    assert max(abs(r.score - plain_score(net, texts[r.doc_id])) for r in rows) < 1e-4
+    assert all(r.predicted == int(r.score >= 0.5) for r in rows)
+
+
 def test_gradients_of_the_network():
     rows = np.array([[1, 2, 3, 0], [2, 2, 1, 3]])
     net = toxicity.Network({"aa": 1}, 3)
