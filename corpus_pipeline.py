@@ -7,23 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexmill.llm import exact_dedup, mixing, near_dedup, packing, quality
-from lexmill.llm.common import staged, table
+from lexmill.llm.common import small_batches, staged, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality classifier, learned from the labels table, takes for good."""
+    small_batches(spark)
     return quality.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row of the smallest doc_id."""
+    small_batches(spark)
     return exact_dedup.keep_first(docs)
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, similarity 0.8 or more), the row of the smallest doc_id."""
+    small_batches(spark)
     return near_dedup.without_near_copies(docs)
 
 
@@ -37,7 +40,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Executors' heaps have grown by the stages before, so the workers' caches are smaller than the operator's own.
     """
-    return packing.pack(docs, with_ids=True, cache=150_000, group_chars=1 << 20)
+    small_batches(spark)
+    return packing.pack(docs, with_ids=True, cache=50_000, group_chars=1 << 19, hand_back=True)
 
 
 STAGES: list[tuple[str, Stage]] = [

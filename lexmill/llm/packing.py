@@ -34,6 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.llm.common import tidy
+
 CAPACITY = 2048
 END = 1
 #: Of its share of a bin, the part that a piece may leave empty.
@@ -392,12 +394,13 @@ def public_vocabulary(name: str = VOCABULARY) -> Callable[[], str]:
     return path
 
 
-def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabulary: Callable[[], str] | None = None, capacity: int = CAPACITY, slack: float = SLACK, with_ids: bool = False, cache: int = CACHE, group_chars: int = GROUP_CHARS) -> DataFrame:
+def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabulary: Callable[[], str] | None = None, capacity: int = CAPACITY, slack: float = SLACK, with_ids: bool = False, cache: int = CACHE, group_chars: int = GROUP_CHARS, hand_back: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with_ids its token ids.
 
-    capacity must be a power of two; cache and group_chars trade memory for time and don't change results. Memory: the cache, a batch of documents, finished sequences of `HELD` tokens, and the
+    capacity must be a power of two; cache, group_chars and hand_back (of freed memory, at a task's end) trade memory for time and don't change results. Memory: the cache, a batch of documents, finished sequences of `HELD` tokens, and the
     open bins: a hundred classes or so, each with less than a sequence's ids, in up to capacity pieces of a class.
     """
     schema = PIECES + (", ids array<int>" if with_ids else "")
     kept = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return kept.mapInPandas(_pack(vocabulary or public_vocabulary(), capacity, slack, with_ids, cache, group_chars), schema)
+    work = _pack(vocabulary or public_vocabulary(), capacity, slack, with_ids, cache, group_chars)
+    return kept.mapInPandas(tidy(work) if hand_back else work, schema)

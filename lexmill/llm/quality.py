@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import doc_fold
+from lexmill.llm.common import doc_fold, tidy
 from lexmill.llm.labelled import sample
 
 #: Bounds of the sample of labelled rows: bad and good rows, and characters of a row.
@@ -304,4 +304,4 @@ def good_documents(docs: DataFrame, labels: DataFrame, text: str = "text") -> Da
             scores = field.scores(texts) if field else np.full(len(texts), prior)
             yield batch.filter(pa.array(scores >= 0.5))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)

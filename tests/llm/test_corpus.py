@@ -4,6 +4,8 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +14,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.llm import chat, exact_dedup, graph, mixing, near_dedup, packing, queries, topk
+from lexmill.llm import chat, common, exact_dedup, graph, mixing, near_dedup, packing, queries, topk
 from lexmill.llm.common import shared_dir, staged, table
 from tests.compare import duck, rows_of
 
@@ -521,6 +523,38 @@ def test_odd_chats(spark):
 # The pipeline
 
 
+def test_pipeline_workers_get_batches_bounded_by_bytes(spark, sf_dir):
+    """Of 400 texts of 50,000 characters, not all at once."""
+    import corpus_pipeline
+
+    docs = spark.range(0, 400, 1, 1).selectExpr("id as doc_id", "repeat('word ', 10000) as text", "'s' as source")
+    corpus_pipeline.packed(spark, docs, sf_dir)
+    sizes = docs.mapInPandas(lambda frames: (pd.DataFrame({"n": [f["text"].str.len().sum()]}) for f in frames), "n long").collect()
+    assert sum(r["n"] for r in sizes) == 400 * 50_000
+    assert max(r["n"] for r in sizes) <= 2 * common.BATCH_BYTES
+
+
+def test_workers_hand_freed_memory_back():
+    """Blocks of 100 MB are freed below one that stays, which allocators keep for themselves."""
+    code = """
+import re
+from lexmill.llm.common import tidy
+held = lambda: int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+def work(frames):
+    blocks = [bytes(2000) for _ in range(50_000)]
+    yield bytes(2000)
+grown = []
+for f in (tidy(work), work):
+    before = held()
+    stays = list(f(iter([])))
+    grown.append(held() - before)
+print(*grown)
+"""
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=60)
+    tidied, plain = map(float, said.stdout.split())
+    assert tidied < 30 < 60 < plain
+
+
 def test_pipeline_against_brute_force_of_its_stages(spark, tmp_path):
     """Each stage keeps what a plain computation on its own input keeps; columns stay; the last one's pieces hold all tokens."""
     import corpus_pipeline as pipeline
