@@ -78,8 +78,14 @@ def write_statistics(stats: DataFrame, path: str) -> int:
     return stats.count()
 
 
-def write_ngrams(grams: DataFrame, folder: str, side: str = "r") -> None:
-    """word and neighbour, a line for each occurrence, as a folder of files."""
+def write_ngrams(grams: DataFrame, folder: str, side: str = "r", counted: bool = False) -> None:
+    """word and neighbour, as a folder of files: a line for each occurrence, or, if counted, a line for each row, with its c as third field.
+
+    Lines for each occurrence take many times the room of the text; counted ones grow with the distinct pairs only.
+    """
+    if counted:
+        grams.select(F.concat_ws("\t", "word", side, F.col("c").cast("string")).alias("value")).write.mode("overwrite").text(folder)
+        return
     every = grams.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))))
     every.select(F.concat_ws("\t", "word", side).alias("value")).write.mode("overwrite").text(folder)
 

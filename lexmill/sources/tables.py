@@ -68,9 +68,17 @@ def read_statistics(spark: SparkSession, path: str) -> DataFrame:
     return rows.dropna(subset=["freq", "entropy"])
 
 
-def read_ngrams(spark: SparkSession, path: str) -> DataFrame:
-    """word, ctx, c (1) of a file of n-grams: cut at the first tab; lines without a word before it are passed over."""
+def read_ngrams(spark: SparkSession, path: str, counted: bool = False) -> DataFrame:
+    """word, ctx, c (1) of a file of n-grams: cut at the first tab; lines without a word before it are passed over.
+
+    counted: c is what stands behind the last tab, as `sinks.write_ngrams` writes it; lines without it are passed over too.
+    """
     at = F.instr("value", "\t")
     lines = spark.read.text(path).where(at > 1)
+    if counted:
+        last = F.substring_index("value", "\t", -1)
+        ctx = F.col("value").substr(at + 1, F.length("value") - at - 1 - F.length(last))
+        rows = lines.where(F.length("value") - F.length(last) > at).select(F.col("value").substr(F.lit(1), at - 1).alias("word"), ctx.alias("ctx"), last.try_cast("long").alias("c"))
+        return rows.dropna(subset=["c"])
     rest = F.regexp_replace(F.col("value").substr(at + 1, F.length("value")), r"[\r\n]+$", "")
     return lines.select(F.col("value").substr(F.lit(1), at - 1).alias("word"), rest.alias("ctx"), F.lit(1).cast("long").alias("c"))

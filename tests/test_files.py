@@ -116,6 +116,25 @@ def test_sinks(spark, tmp_path):
     assert sinks.default_output(spark, str(tmp_path), date(2024, 3, 1)) == str(tmp_path / f"{tmp_path.name}_20240301_words_sort.data")
 
 
+def test_counted_ngrams_take_a_line_each(spark, tmp_path):
+    """However often a pair occurs; lines that don't parse are passed over."""
+    grams = spark.createDataFrame([("天", "地", 3_000_000_000), ("天地", "$", 1), ("地", "", 2)], "word string, ctx string, c long")
+    sinks.write_ngrams(grams, str(tmp_path / "g"), "ctx", counted=True)
+    lines = [x for p in (tmp_path / "g").glob("part-*") for x in p.read_text().splitlines()]
+    assert sorted(lines) == sorted(["天\t地\t3000000000", "天地\t$\t1", "地\t\t2"])
+    assert sorted(map(tuple, tables.read_ngrams(spark, str(tmp_path / "g"), counted=True).collect())) == sorted(map(tuple, grams.collect()))
+    assert [tuple(r) for r in tables.read_ngrams(spark, write(tmp_path / "o", "天\t地\n\t地\t2\n天\t地\tx\n天\t\t\t5\n天\n"), counted=True).collect()] == [("天", "\t", 5)]
+
+
+def test_query_of_ngram_files_writes_no_line_for_each_occurrence(spark, sf_dir, monkeypatch):
+    from lexmill.plans import queries as core
+
+    seen, real = [], sinks.write_ngrams
+    monkeypatch.setattr(sinks, "write_ngrams", lambda grams, folder, *a, **k: (real(grams, folder, *a, **k), seen.append(folder)))
+    got = core.ngram_files(spark, sf_dir)
+    assert spark.read.text(seen[0]).count() == got.count()
+
+
 def test_run_utf8_gbk_and_empty(spark, tmp_path):
     got = words(job.run(write(tmp_path / "u" / "a.txt", "\n".join(LINES * 30)), settings=ALL, spark=spark))
     assert len(got) == 144 and got["天下"] == ["30", "5.000000", "0.000000", "0.000000", "x"]
