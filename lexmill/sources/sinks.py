@@ -6,7 +6,7 @@ import os
 import uuid
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.config import OUTPUT_SUFFIX
@@ -74,8 +74,9 @@ def write_lexicon(words: DataFrame, path: str) -> None:
 def write_statistics(stats: DataFrame, path: str) -> int:
     """word, freq, entropy (six decimals) as one file by word, without a header; the number of rows."""
     line = F.concat_ws("\t", "word", F.col("freq").cast("string"), six_decimals(F.col("entropy")))
-    _one_file(stats.orderBy("word").select(line.alias("value")), path, None)
-    return stats.count()
+    seen = Observation()
+    _one_file(stats.orderBy("word").select(line.alias("value")).observe(seen, F.count(F.lit(1)).alias("rows")), path, None)
+    return seen.get["rows"]
 
 
 def write_ngrams(grams: DataFrame, folder: str, side: str = "r", counted: bool = False) -> None:

@@ -135,6 +135,20 @@ def test_query_of_ngram_files_writes_no_line_for_each_occurrence(spark, sf_dir,
     assert spark.read.text(seen[0]).count() == got.count()
 
 
+def test_statistics_are_made_once_when_written(spark, tmp_path):
+    """The number of rows is counted as they are written, by tables that are empty too."""
+    made = spark.sparkContext.accumulator(0)
+
+    def one(rows):
+        made.add(1)
+        yield from rows
+
+    source = spark.range(3, numPartitions=1).selectExpr("cast(id as string) as word", "id as freq", "0.5D as entropy")
+    stats = source.mapInPandas(one, source.schema).repartition(2)  # the shuffle is read by the sort's sample and the sort
+    assert sinks.write_statistics(stats, str(tmp_path / "s")) == 3 and made.value == 1
+    assert sinks.write_statistics(stats.where("false"), str(tmp_path / "e")) == 0 and open(tmp_path / "e").read() == ""
+
+
 def test_run_utf8_gbk_and_empty(spark, tmp_path):
     got = words(job.run(write(tmp_path / "u" / "a.txt", "\n".join(LINES * 30)), settings=ALL, spark=spark))
     assert len(got) == 144 and got["天下"] == ["30", "5.000000", "0.000000", "0.000000", "x"]
