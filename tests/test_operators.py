@@ -28,6 +28,17 @@ def test_tokens(spark):
     assert spark.createDataFrame([("a，的b",)], "text string").select(T.clean(F.col("text"))).first()[0] == "a  b"
 
 
+def test_runs_take_no_look_at_each_stopword_for_every_character(spark, capsys):
+    """Results for stopwords at all places, and for signs that mean something in a pattern; the pattern holds no stopword."""
+    df = spark.createDataFrame([("的天下的太平的 世界了么安宁",), ("天]下地-玄^黄宇",)], "text string")
+    got = lambda stop: [r.tok for r in tokens.tokens(df, stopwords=stop).collect()]
+    assert got(STOPWORDS) == ["天下", "太平", "世界", "安宁", "下地", "黄宇"]
+    assert got("") == ["的天下的太平的", "世界了么安宁", "下地", "黄宇"] and got("]-^下") == ["的天", "的太平的", "世界了么安宁", "黄宇"]
+    assert [(r.tok, r.start, r.end) for r in tokens.token_offsets(df).limit(4).collect()] == [("天下", 1, 3), ("太平", 4, 6), ("世界", 8, 10), ("安宁", 12, 14)]
+    tokens.tokens(df).explain()
+    assert "&&" not in capsys.readouterr().out
+
+
 def test_predicates(spark):
     df = spark.createDataFrame([("世",), ("a",), ("你好世界",), ("hello世界",), ("",), ("世\n",)], "w string")
     got = {r.w: (r.a, r.b) for r in df.select("w", T.is_han(F.col("w")).alias("a"), T.all_han(F.col("w")).alias("b")).collect()}
